@@ -21,6 +21,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Byte b is the character BASE + b: letters of two UTF-8 bytes, away from sentencepiece's own marks.
 BASE = 0x100
@@ -127,7 +128,7 @@ class ByteBpe:
 
     def _over(self, df: DataFrame, column: str, to: str, work) -> DataFrame:
         shared, key = self.shared, self.key
-        schema = df.schema.add(to, "binary")
+        schema = StructType([*df.schema.fields, StructField(to, BinaryType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(key, shared)
