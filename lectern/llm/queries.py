@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe
-from lectern.llm.common import documents
+from lectern.llm import bpe, langid, linededup, pii
+from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry
 
 REGISTRY = Registry()
@@ -15,3 +15,21 @@ def op8_byte_bpe(spark, sf_dir):
 
     codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(documents(spark, sf_dir), codec)
+
+
+@REGISTRY.query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod5("doc_id") == 0
+    model = langid.fit(docs.where(~held_out))
+    return langid.classify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@REGISTRY.query("op9_pii")
+def op9_pii(spark, sf_dir):
+    return pii.digests(documents(spark, sf_dir), Scratch(spark, "op9"))
+
+
+@REGISTRY.query("op7_line_dedup", linededup.SQL)
+def op7_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
