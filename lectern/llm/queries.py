@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, langid, linededup, pii
+from lectern.llm import bpe, langid, linededup, pii, superkmer
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry
 
@@ -33,3 +33,8 @@ def op9_pii(spark, sf_dir):
 @REGISTRY.query("op7_line_dedup", linededup.SQL)
 def op7_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@REGISTRY.query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    return superkmer.digests(documents(spark, sf_dir), Scratch(spark, "op5"))
