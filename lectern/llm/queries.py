@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, langid, linededup, pii, superkmer
+from lectern.llm import bpe, langid, linededup, lm, pii, superkmer
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry
 
@@ -38,3 +38,8 @@ def op7_line_dedup(spark, sf_dir):
 @REGISTRY.query("op5_substring_dedup")
 def op5_substring_dedup(spark, sf_dir):
     return superkmer.digests(documents(spark, sf_dir), Scratch(spark, "op5"))
+
+
+@REGISTRY.query("op10_lm_score")
+def op10_lm_score(spark, sf_dir):
+    return lm.score(documents(spark, sf_dir), Scratch(spark, "op10"))
