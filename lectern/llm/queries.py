@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, langid, linededup, lm, pii, superkmer
+from lectern.llm import bpe, langid, linededup, lm, ngramjoin, pii, superkmer
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry
 
@@ -43,3 +43,8 @@ def op5_substring_dedup(spark, sf_dir):
 @REGISTRY.query("op10_lm_score")
 def op10_lm_score(spark, sf_dir):
     return lm.score(documents(spark, sf_dir), Scratch(spark, "op10"))
+
+
+@REGISTRY.query("op6_ngram_join")
+def op6_ngram_join(spark, sf_dir):
+    return ngramjoin.result(documents(spark, sf_dir), Scratch(spark, "op6"))
