@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, langid, linededup, lm, ngramjoin, pii, superkmer
+from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, superkmer
 from lectern.llm.common import Scratch, crc_mod5, documents
-from lectern.registry import Registry
+from lectern.registry import Registry, table
 
 REGISTRY = Registry()
 
@@ -48,3 +48,13 @@ def op10_lm_score(spark, sf_dir):
 @REGISTRY.query("op6_ngram_join")
 def op6_ngram_join(spark, sf_dir):
     return ngramjoin.result(documents(spark, sf_dir), Scratch(spark, "op6"))
+
+
+@REGISTRY.query("op3_embedding_dedup")
+def op3_embedding_dedup(spark, sf_dir):
+    return embdedup.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark, "op3"))
+
+
+@REGISTRY.query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return decontam.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
