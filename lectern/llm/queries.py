@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, superkmer
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry, table
@@ -58,3 +59,8 @@ def op3_embedding_dedup(spark, sf_dir):
 @REGISTRY.query("op4_decontamination")
 def op4_decontamination(spark, sf_dir):
     return decontam.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
