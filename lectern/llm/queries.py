@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, superkmer
+from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry, table
 
@@ -64,3 +64,8 @@ def op4_decontamination(spark, sf_dir):
 @REGISTRY.query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@REGISTRY.query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixdedup.digests(documents(spark, sf_dir), Scratch(spark, "op2"))
