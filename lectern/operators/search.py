@@ -22,3 +22,130 @@ def best_per_group(hits: DataFrame, group: str, order: list[Column]) -> DataFram
     """The first row of each group by ``order``; rows whose group is null are all kept."""
     ranked = hits.where(F.col(group).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return ranked.where("_rn = 1").drop("_rn").unionByName(hits.where(F.col(group).isNull()))
+
+
+def latest_state(changes: DataFrame, key: str = "logical_id", version: str = "version", seq: str = "seq") -> DataFrame:
+    """Per key the row of the highest version; of equal versions the last seen by ``seq``."""
+    rest = [c for c in changes.columns if c != key]
+    best = changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, seq)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def overlay_merge(base: DataFrame, delta: DataFrame, state: DataFrame, key: str = "logical_id") -> DataFrame:
+    """Hits of both sides merged: a key's current version alone, no deleted keys, one hit per key.
+
+    The winner of a key has the highest version, then score, then comes first (delta before base, then ``seq``). Hits
+    without a key are all kept; a key without state is live in each version.
+    """
+    both = delta.withColumn("side", F.lit(0)).unionByName(base.withColumn("side", F.lit(1)))
+    known = state.select(F.col(key).alias("_key"), F.col("version").alias("_version"), F.col("deleted").alias("_deleted"))
+    live = both.join(known, F.col(key) == F.col("_key"), "left").where("_key IS NULL OR (NOT _deleted AND version >= _version)").drop("_key", "_version", "_deleted")
+    order = Window.partitionBy(key).orderBy(F.desc("version"), F.desc("score"), "side", "seq")
+    named = live.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    return named.unionByName(live.where(F.col(key).isNull()))
+
+
+def in_dates(column: Column, start: str | None, end: str | None) -> Column:
+    """Inclusive range that holds only where both bounds are given."""
+    return column.between(start, end) if start and end else F.lit(True)
+
+
+def wildcard(text: str) -> str:
+    """A regular expression for a quoted query: * and ? are wildcards, all else is literal."""
+    import re
+
+    return "".join({"*": "(?s:.*)", "?": "(?s:.)"}.get(c, re.escape(c)) for c in text)
+
+
+def is_quoted_only(query: str) -> bool:
+    q = query.strip().replace("“", '"').replace("”", '"')
+    return len(q) > 2 and q[0] == q[-1] == '"' and '"' not in q[1:-1]
+
+
+def keyword_condition(query: str, *fields: Column) -> Column:
+    """A boolean keyword query as one condition: AND, OR, NOT, brackets, quoted phrases; words side by side mean OR.
+
+    Terms match case-insensitively as substrings of any field. NOT binds most, then AND, then OR.
+    """
+    import re
+
+    words = re.findall(r'"[^"]*"|[()]|[^\s()"]+', query.replace("“", '"').replace("”", '"'))
+    at = 0
+
+    def term(word: str) -> Column:
+        needle = word.strip('"').lower()
+        found = F.lit(False)
+        for f in fields:
+            found = found | F.coalesce(F.contains(F.lower(f), F.lit(needle)), F.lit(False))
+        return found
+
+    def unary() -> Column:
+        nonlocal at
+        word = words[at] if at < len(words) else '""'
+        at += 1
+        if word.upper() == "NOT":
+            return ~unary()
+        if word == "(":
+            inner = either()
+            if at < len(words):
+                at += 1
+            return inner
+        return term(word)
+
+    def both() -> Column:
+        nonlocal at
+        left = unary()
+        while at < len(words) and words[at].upper() == "AND":
+            at += 1
+            left = left & unary()
+        return left
+
+    def either() -> Column:
+        nonlocal at
+        left = both()
+        while at < len(words) and words[at] != ")":
+            if words[at].upper() == "OR":
+                at += 1
+            left = left | both()
+        return left
+
+    return either() if words else F.lit(True)
+
+
+def multi_match(tokens: list[str], boosts: list[tuple[Column, float]], phrase: str | None = None, phrase_boost: float = 8.0) -> Column:
+    """Score of the best field that holds all tokens, plus a boost where a field holds the phrase; null for no match."""
+    best = F.greatest(*[F.when(_all_in(c, tokens), F.lit(b)).otherwise(F.lit(0.0)) for c, b in [*boosts, (F.lit(None).cast("string"), 0.0)]])
+    extra = F.lit(0.0)
+    if phrase:
+        held = F.lit(False)
+        for c, _ in boosts:
+            held = held | F.coalesce(F.contains(F.lower(c), F.lit(phrase.lower())), F.lit(False))
+        extra = F.when(held, F.lit(phrase_boost)).otherwise(F.lit(0.0))
+    return F.when(best > 0, best + extra)
+
+
+def _all_in(column: Column, tokens: list[str]) -> Column:
+    held = F.lit(True)
+    for t in tokens:
+        held = held & F.coalesce(F.contains(F.lower(column), F.lit(t.lower())), F.lit(False))
+    return held
+
+
+def page(hits: DataFrame, order: list[Column], number: int, size: int, window: int = 10_000, largest: int = 50) -> DataFrame:
+    """A page of ordered hits; pages start at 1 and must end within the result window."""
+    if number < 1 or not 1 <= size <= largest or number * size > window:
+        raise ValueError("page out of range")
+    return hits.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def distinct_targets(hits: DataFrame, target: str, order: list[Column], size: int = 8) -> DataFrame:
+    """Best hit per target (hits without target are all kept), first ``size`` (blank: 8, 1 to 20)."""
+    return best_per_group(hits, target, order).orderBy(*order).limit(min(max(size or 8, 1), 20))
+
+
+def with_fallback(matched: DataFrame, everything: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k matches, or the first k of everything if nothing matches."""
+    k = min(max(k, 1), 12)
+    some = matched.limit(1).select(F.lit(1).alias("_some"))
+    rest = everything.join(some, F.lit(True), "left_anti")
+    return matched.orderBy(*order).limit(k).unionByName(rest.orderBy(*order).limit(k))
