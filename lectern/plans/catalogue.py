@@ -6,7 +6,8 @@ from lectern.registry import Registry
 
 REGISTRY = Registry()
 
+from lectern.plans import reader as _reader  # noqa: E402
 from lectern.plans import search as _search  # noqa: E402
 
-for _module in (_search,):
+for _module in (_search, _reader):
     _module.register(REGISTRY)
