@@ -6,8 +6,9 @@ from lectern.registry import Registry
 
 REGISTRY = Registry()
 
+from lectern.plans import content as _content  # noqa: E402
 from lectern.plans import reader as _reader  # noqa: E402
 from lectern.plans import search as _search  # noqa: E402
 
-for _module in (_search, _reader):
+for _module in (_search, _reader, _content):
     _module.register(REGISTRY)
