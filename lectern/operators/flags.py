@@ -44,7 +44,7 @@ def rule_errors(flags: DataFrame) -> DataFrame:
         "name": "exists(rules, r -> r.name IS NULL OR length(trim(r.name)) NOT BETWEEN 1 AND 120)",
         "percentage": "exists(rules, r -> r.conditionType = 'percentage' AND (r.percentage IS NULL OR r.percentage NOT BETWEEN 1 AND 100))",
         "users": "exists(rules, r -> r.conditionType = 'users' AND coalesce(size(r.userIds), 0) = 0)",
-        "window": "exists(rules, r -> r.startsAt >= r.endsAt)",
+        "window": "exists(rules, r -> coalesce(r.startsAt >= r.endsAt, false))",
         "duplicate_id": "size(array_distinct(transform(rules, r -> r.id))) <> size(rules)",
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(c), F.lit(True)), F.lit(k)) for k, c in checks.items()]))
