@@ -8,8 +8,9 @@ REGISTRY = Registry()
 
 from lectern.plans import content as _content  # noqa: E402
 from lectern.plans import functions as _functions  # noqa: E402
+from lectern.plans import more as _more  # noqa: E402
 from lectern.plans import reader as _reader  # noqa: E402
 from lectern.plans import search as _search  # noqa: E402
 
-for _module in (_search, _reader, _content, _functions):
+for _module in (_search, _reader, _content, _functions, _more):
     _module.register(REGISTRY)
