@@ -171,3 +171,81 @@ def isbn(identifier: Column) -> Column:
 def is_page_mark(text: Column) -> Column:
     """Nothing but a page number, in digits or Roman numerals, perhaps with dots or dashes around it."""
     return text.rlike(r"(?i)^[\s.·\-–—]*([0-9]{1,4}|[ivxlc]{1,7})[\s.·\-–—]*$")
+
+
+def chinese_date(text: Column) -> Column:
+    """Year, month and day in Chinese or Arabic digits as YYYY-MM-DD; 廿 is twenty and 卅 thirty; null for anything else."""
+    n = "[零〇一二三四五六七八九十廿卅0-9]+"
+    pattern = f"({n})年({n})月({n})日"
+    plain = lambda i: F.replace(F.replace(F.regexp_extract(text, pattern, i), F.lit("廿"), F.lit("二十")), F.lit("卅"), F.lit("三十"))
+    y, m, d = (chinese_number(plain(i)) for i in (1, 2, 3))
+    told = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+    return F.when(text.rlike(pattern) & y.isNotNull() & m.isNotNull() & d.isNotNull(), F.date_format(F.try_to_date(told), "yyyy-MM-dd"))
+
+
+def author_in_name(name: Column, ignored: str = r"(?i)library|archive|\d") -> Column:
+    """The last bracketed part of a file name that isn't one of the ignored kind; null without one."""
+    found = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"[(（]([^()（）]+)[)）]"), F.lit(1)), lambda x: F.trim(x)), lambda x: ~x.rlike(ignored))
+    return F.try_element_at(found, F.lit(-1))
+
+
+def chosen_title(package: Column, file_name: Column) -> Column:
+    """The package's title, or the file's where that is missing or only the beginning of it."""
+    cut = (F.length(package) < F.length(file_name)) & file_name.startswith(package)
+    return F.when((F.coalesce(F.trim(package), F.lit("")) == "") | cut, file_name).otherwise(package)
+
+
+def code_from_seed(seed: Column, length: int = 8, alphabet: str = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789") -> Column:
+    """Characters that the bytes of the seed's SHA-256 choose."""
+    digits = F.sha2(seed, 256)
+    one = lambda i: F.substring(F.lit(alphabet), (F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("int") % len(alphabet)) + 1, F.lit(1))
+    return F.concat(*[one(i) for i in range(length)])
+
+
+def canonical_url(url: Column) -> Column:
+    """https, with a scheme, without a web archive's prefix or &amp;."""
+    u = F.replace(F.trim(url), F.lit("&amp;"), F.lit("&"))
+    u = F.regexp_replace(u, r"^https?://[^/]*/web/[0-9]+[a-z_]*/", "")
+    return F.regexp_replace(F.regexp_replace(u, "^//", "https://"), "^http://", "https://")
+
+
+def image_widths(width: Column, height: Column, widths: tuple[int, ...]) -> Column:
+    """(width, height) of each of the widths up to the image's own, in its ratio."""
+    kept = F.filter(F.array(*map(F.lit, widths)), lambda w: w <= width)
+    return F.transform(kept, lambda w: F.struct(w.alias("width"), F.round(height * w / width).cast("int").alias("height")))
+
+
+def supplement(number: Column, ordinary: int = 90) -> Column:
+    return F.when(number > ordinary, F.concat(F.lit("supplement "), (number % ordinary).cast("string"))).otherwise(F.concat(F.lit("no. "), number.cast("string")))
+
+
+@F.arrow_udf(StringType())
+def resolve_path(base: pa.Array, path: pa.Array) -> pa.Array:
+    """``path`` from the folder of ``base``; null where it leaves the root."""
+    import posixpath
+
+    out = []
+    for b, p in zip(base.to_pylist(), path.to_pylist(), strict=True):
+        full = None if p is None else posixpath.normpath(posixpath.join(posixpath.dirname(b or ""), p))
+        out.append(None if full is None or full.startswith(("/", "..")) else full)
+    return pa.array(out, pa.string())
+
+
+def anchor_key(*parts: Column) -> Column:
+    """SHA-256 of the parts as a JSON array."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def source_page(number: Column, index: Column, offset: Column) -> Column:
+    """A page number of at least 1 plus the offset, else the index from 0, else the first page."""
+    return F.coalesce(F.when(number >= 1, number + offset), index + 1 + offset, offset + 1)
+
+
+def without_assets(markup: Column, missing: Column) -> Column:
+    """Markup without the figures and spans of missing assets."""
+    gone = lambda i: F.concat(F.lit(r'(?s)<(figure|span)[^>]*data-asset="'), i, F.lit(r'"[^>]*>.*?</\1>'))
+    return F.aggregate(missing, markup, lambda m, i: F.regexp_replace(m, gone(i), ""))
+
+
+def item_id(dataset: Column, key: Column) -> Column:
+    return F.concat_ws(":", dataset, key)
