@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer
+from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, twins
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry, table
 
@@ -36,7 +36,7 @@ def op7_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-@REGISTRY.query("op5_substring_dedup")
+@REGISTRY.query("op5_substring_dedup", twins.SUBSTRING_DEDUP)
 def op5_substring_dedup(spark, sf_dir):
     return superkmer.digests(documents(spark, sf_dir), Scratch(spark, "op5"))
 
@@ -46,12 +46,12 @@ def op10_lm_score(spark, sf_dir):
     return lm.score(documents(spark, sf_dir), Scratch(spark, "op10"))
 
 
-@REGISTRY.query("op6_ngram_join")
+@REGISTRY.query("op6_ngram_join", twins.NGRAM_JOIN)
 def op6_ngram_join(spark, sf_dir):
     return ngramjoin.result(documents(spark, sf_dir), Scratch(spark, "op6"))
 
 
-@REGISTRY.query("op3_embedding_dedup")
+@REGISTRY.query("op3_embedding_dedup", twins.EMBEDDING_DEDUP)
 def op3_embedding_dedup(spark, sf_dir):
     return embdedup.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark, "op3"))
 
@@ -66,6 +66,6 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-@REGISTRY.query("op2_suffix_dedup")
+@REGISTRY.query("op2_suffix_dedup", twins.SUFFIX_DEDUP)
 def op2_suffix_dedup(spark, sf_dir):
     return suffixdedup.digests(documents(spark, sf_dir), Scratch(spark, "op2"))
