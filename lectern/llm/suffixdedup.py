@@ -27,6 +27,8 @@ from lectern.llm.superkmer import group_starts
 
 WIDTH, K = 50, 16
 HOT = 2_048
+#: Bytes of a block; a block's hashes take about seventy times as much, a shard of its size about a hundred times.
+BLOCK = 2 << 20
 _BITS = 48
 _Q = U64(0xA0761D6478BD642F)
 _Q_INVERSE = U64(pow(0xA0761D6478BD642F, -1, 1 << 64))
@@ -254,7 +256,7 @@ def _covered(block: Block, runs: Runs, buckets: int) -> np.ndarray:
 
 def remove_earlier(df: DataFrame, scratch: Scratch) -> DataFrame:
     """Per row (doc_id, kept, n_bytes, spans): the bytes left, and the removed spans as pairs of byte offsets."""
-    blocks = block_table(df, scratch)
+    blocks = block_table(df, scratch, most=BLOCK)
     buckets = bucket_count(blocks, 2)
     told = ask(blocks, "runs", _ask_runs(buckets), _answer_runs, scratch)
     told = ask(told, "windows", _ask_windows(buckets), _answer_windows, scratch)
