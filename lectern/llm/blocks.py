@@ -9,6 +9,7 @@ each pass and answers come in the order of its requests, without keys.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,16 @@ from lectern.llm.common import BLOCK_BYTES, U64, Scratch, in_blocks
 _SCHEMA = "block_id bigint, ids array<bigint>, sizes binary, body binary"
 
 
+def lean() -> None:
+    """Has this process give arrays of over a megabyte back to the system as they are freed (glibc; elsewhere nothing)."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def squeeze(data: bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
@@ -98,6 +109,7 @@ def block_table(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: s
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    lean()
     for batch in batches:
         for i in range(batch.num_rows):
             yield Block(batch.slice(i, 1).to_pylist()[0])
@@ -122,6 +134,7 @@ def ask(blocks: DataFrame, name: str, request: Callable[[Block], Iterable[tuple[
             yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "block_id", "body"])
 
     def answered(table: pa.Table) -> pa.Table:
+        lean()
         rows = sorted(zip(table["block_id"].to_pylist(), table["body"].to_pylist(), strict=True), key=lambda r: r[0])
         bodies = answer(rows)
         bucket = table["bucket"][0].as_py() if table.num_rows else 0

@@ -253,13 +253,14 @@ def _sorted(text: np.ndarray, limit: int, base: int, queue_bytes: int, folder: s
         return _in_memory(text, limit)
     text = np.append(text.astype(np.int32) + 1, np.int32(0))
     n = text.size
-    step = np.sign(np.diff(text.astype(np.int64))).astype(np.int8)
+    step = np.sign(np.diff(text)).astype(np.int8)
     # an equal symbol has the type of the next position that differs
-    nonzero = np.append(step != 0, True)
-    nxt = np.minimum.accumulate(np.where(nonzero, np.arange(n), n)[::-1])[::-1]
+    place = np.arange(n, dtype=np.int32)
+    nxt = np.minimum.accumulate(np.where(np.append(step != 0, True), place, np.int32(n))[::-1])[::-1]
     small = np.append(step, 1)[nxt] > 0
-    run = (nxt - np.arange(n) + 1).astype(np.int32)
+    run = nxt - place + 1
     np.minimum(run, limit, out=run)
+    del step, place, nxt
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     names = _name(text, small, stars)
     if names.max() + 1 == stars.size:

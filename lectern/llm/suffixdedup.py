@@ -183,8 +183,8 @@ def earlier_windows(strings: list[bytes], docs: np.ndarray, width: int = WIDTH)
     text[ends - 1] = 0
     n = np.maximum(lengths - width + 1, 0)
     at = np.cumsum(n) - n
-    window = np.full(text.size, -1, np.int64)  # number of the window that starts at each place
-    place = np.arange(int(n.sum())) + np.repeat(ends - lengths - 1 - at, n)
+    window = np.full(text.size, -1, np.int32)  # number of the window that starts at each place
+    place = (np.arange(int(n.sum())) + np.repeat(ends - lengths - 1 - at, n)).astype(np.int32)
     window[place] = np.arange(place.size)
     out = np.zeros(place.size, bool)
     if not place.size:
@@ -257,7 +257,7 @@ def _covered(block: Block, runs: Runs, buckets: int) -> np.ndarray:
 def remove_earlier(df: DataFrame, scratch: Scratch) -> DataFrame:
     """Per row (doc_id, kept, n_bytes, spans): the bytes left, and the removed spans as pairs of byte offsets."""
     blocks = block_table(df, scratch, most=BLOCK)
-    buckets = bucket_count(blocks, 2)
+    buckets = bucket_count(blocks, 1)
     told = ask(blocks, "runs", _ask_runs(buckets), _answer_runs, scratch)
     told = ask(told, "windows", _ask_windows(buckets), _answer_windows, scratch)
 
