@@ -1,7 +1,7 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, components.
 
 Unit vectors are assigned to the nearest of some centres, fitted on a bounded sample (``SAMPLE`` rows). A vector is also a guest of
-each cell whose border with its own is within the threshold's angle: if x and y are within an angle a and
+each lower-numbered cell whose border with its own is within the threshold's angle: if x and y are within an angle a and
 lie in different cells, y's distance to the border plane is at most sin(a). So each linked pair meets in
 the smaller of its two cells, and recall is 1 whatever the centres. Cells are cut into blocks of ``ROWS`` vectors, and block pairs are
 multiplied; each task gives counts and one link per linked vector to its group's least, never all pairs.
@@ -27,7 +27,7 @@ from lectern.llm.components import components
 SAMPLE = 20_000
 PER_CELL = 4_000
 MAX_CELLS = 512
-ROWS = 512
+ROWS = 1_024
 _ROUNDS = 8
 
 
@@ -87,7 +87,8 @@ def _place(dim: int, centres: np.ndarray, threshold: float):
                 near = np.stack([np.frombuffer(units[i]) for i in part]) @ centres.T
                 home = np.argmax(near, axis=1)
                 margin = near[np.arange(len(part)), home][:, None] - near
-                i, c = np.nonzero(margin <= sine * gaps[home])
+                # a pair meets in the smaller of its cells, so no vector is a guest of a cell above its own
+                i, c = np.nonzero((margin <= sine * gaps[home]) & (np.arange(len(centres))[None, :] <= home[:, None]))
                 rows += [part[k] for k in i.tolist()]
                 cells += c.tolist()
                 homes += home[i].tolist()
