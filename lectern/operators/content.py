@@ -131,7 +131,8 @@ def chunks(df: DataFrame, text: str, size: int = 1500, overlap: int = 150, keep:
         a = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1)["b"] - overlap)
         done = (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= n)
         piece = F.substring(F.col(text), a + 1, F.lit(size + 1))
-        last = F.length(F.regexp_replace(piece, f"(?s)[^{STOPS}]*\\z", ""))
+        back = F.regexp_instr(F.reverse(piece), F.lit(f"[{STOPS}]"))
+        last = F.when(back > 0, F.length(piece) - back + 1).otherwise(0)
         b = F.when(a + size >= n, n).when(last > size * keep, a + last).otherwise(a + size)
         return F.when(done, acc).otherwise(F.concat(acc, F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))))
 
