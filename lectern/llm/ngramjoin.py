@@ -7,10 +7,10 @@ so sets meet on prefix shingles, and only on those that another document has as
 length filter, the positional filter (what can still be shared after the place where they meet) and, before the exact
 intersection, the suffix filter (shingles split at a pivot: both halves' difference in size bounds what can be shared).
 
-Equal sets are one node. Only components are asked for, so links are found in two rounds: first each
-prefix shingle's sets meet its smallest set alone; then, where a shingle still holds several components, the sets of
-different components meet, each pair once. No link between different components is lost, and no group
-emits all its pairs.
+Equal sets are one node. Only components are asked for, so links are found in rounds: in ``HUB_ROUNDS`` of them each
+prefix shingle's sets meet one hub alone, first its most typical set (of copies their original), then one of another
+component; at last, where a shingle still holds several components, the sets of different components meet, each pair
+once. No link between different components is lost, and groups of copies don't emit all their pairs.
 
 Empty sets (null, empty or blank texts) link with nothing. Repeated rows and null ids are documents like others;
 a component's id is its smallest non-null doc_id. Shingles and sets are known by 64-bit hashes.
@@ -31,6 +31,9 @@ from lectern.llm.components import components
 from lectern.llm.superkmer import group_starts, spans_hash
 
 
+HUB_ROUNDS = 3
+
+
 class Sets:
     """The shingle sets of a block: ``h`` holds each document's distinct shingles, document by document."""
 
@@ -94,7 +97,10 @@ def _frequencies(block: Block, sets: Sets, buckets: int) -> np.ndarray:
 
 
 def _postings(told: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """(key, sid, n, pos) of prefix shingles that several distinct sets hold."""
+    """(key, sid, n, pos, typ) of prefix shingles that several distinct sets hold.
+
+    ``typ`` is a set's mean log frequency of shingles: the text that many others were copied from has the highest.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
@@ -104,6 +110,7 @@ def _postings(told: DataFrame, shingle: int, percent: int, buckets: int) -> Data
             df = _frequencies(block, sets, buckets)
             order = np.lexsort((sets.h, df, sets.doc))
             h, df, doc = sets.h[order], df[order], sets.doc[order]
+            typ = (1000 * np.bincount(doc, np.log2(np.maximum(df, 1)), len(block.texts)) / np.maximum(sets.sizes, 1)).astype(np.int32)
             pos = np.arange(h.size) - sets.at[doc]
             n = sets.sizes[doc]
             keep = np.zeros(len(block.texts), bool)
@@ -112,31 +119,32 @@ def _postings(told: DataFrame, shingle: int, percent: int, buckets: int) -> Data
             h, doc, pos, n = h[use], doc[use], pos[use], n[use]
             order = np.lexsort((sets.sid[doc], h))
             h, doc, pos, n = h[order], doc[order], pos[order], n[order]
-            found = [(bucket, join_bodies(pack(h[a:b], True), pack(sets.sid[doc[a:b]]), pack(n[a:b].astype(np.int32)), pack(pos[a:b].astype(np.int32)))) for bucket, a, b in cut_by_bucket(h, 64, buckets)]
+            found = [(bucket, join_bodies(pack(h[a:b], True), pack(sets.sid[doc[a:b]]), pack(n[a:b].astype(np.int32)), pack(pos[a:b].astype(np.int32)), pack(typ[doc[a:b]]))) for bucket, a, b in cut_by_bucket(h, 64, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "body"])
 
     def meet(table: pa.Table) -> pa.Table:
         bodies = [split_bodies(b) for b in table["body"].to_pylist()]
         h = np.concatenate([unpack(b[0], U64, True) for b in bodies])
         sid = np.concatenate([unpack(b[1], np.int64) for b in bodies])
-        n, pos = (np.concatenate([unpack(b[i], np.int32) for b in bodies]) for i in (2, 3))
+        n, pos, typ = (np.concatenate([unpack(b[i], np.int32) for b in bodies]) for i in (2, 3, 4))
         order = np.lexsort((sid, h))
-        h, sid, n, pos = h[order], sid[order], n[order], pos[order]
-        one = group_starts(h, sid.view(U64))
-        h, sid, n, pos = h[one], sid[one], n[one], pos[one]
+        order = order[group_starts(h[order], sid[order].view(U64))]
+        h, sid, n, pos, typ = h[order], sid[order], n[order], pos[order], typ[order]
         group = np.cumsum(group_starts(h)) - 1
         many = (np.bincount(group, minlength=1) > 1)[group] if h.size else np.zeros(0, bool)
-        return pa.table({"key": h[many].view(np.int64), "sid": sid[many], "n": n[many], "pos": pos[many]})
+        return pa.table({"key": h[many].view(np.int64), "sid": sid[many], "n": n[many], "pos": pos[many], "typ": typ[many]})
 
-    return told.mapInArrow(emit, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "key bigint, sid bigint, n int, pos int")
+    return told.mapInArrow(emit, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "key bigint, sid bigint, n int, pos int, typ int")
 
 
 def _could_link(percent: int, a: str = "a", b: str = "b") -> str:
-    """Length and positional filters as SQL over rows (n, pos) of both sides."""
+    """Length and positional filters as SQL over rows (n, pos) of both sides.
+
+    All that two sets share lies at or behind the first shingle at which they meet, so their link shows in that row at least.
+    """
     shorter, longer = f"least({a}.n, {b}.n)", f"greatest({a}.n, {b}.n)"
-    reach = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"  # with what lies before, at most the places passed
-    before = f"least({a}.pos, {b}.pos)"
-    return f"100L * {shorter} >= {percent}L * {longer} AND (100L + {percent}) * ({reach} + {before}) >= {percent}L * ({a}.n + {b}.n)"
+    reach = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    return f"100L * {shorter} >= {percent}L * {longer} AND (100L + {percent}) * {reach} >= {percent}L * ({a}.n + {b}.n)"
 
 
 def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -171,6 +179,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(xs, "a").join(ys, "b").select("a", "b", "xs", "ys").mapInArrow(run, "a bigint, b bigint")
 
 
+def _mixed(postings: DataFrame, root: DataFrame) -> DataFrame:
+    """Postings with ``root``, of the shingles that still hold several components."""
+    placed = postings.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def _with_hubs(postings: DataFrame, root: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each shingle's hub with its other sets: first the most typical set, later one of another component."""
+    if root is None:
+        placed = postings.withColumn("root", F.col("sid"))
+    else:
+        placed = _mixed(postings, root)
+        first = placed.groupBy("key").agg(F.max_by("root", F.struct("typ", "sid")).alias("_first"))
+        placed = placed.join(first, "key")
+    order = F.struct("typ", "sid") if root is None else F.struct(F.col("root") != F.col("_first"), F.col("typ") if turn % 2 else F.xxhash64("sid", F.lit(turn)), F.col("sid"))
+    hub = placed.groupBy("key").agg(F.max_by(F.struct("sid", "n", "pos", "root"), order).alias("hub")).select("key", "hub.*")
+    pairs = hub.alias("a").join(placed.alias("b"), "key").where("a.root <> b.root").where(_could_link(percent))
+    return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+
+
 def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) per row; documents without link are components of their own.
 
@@ -206,22 +235,18 @@ def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int)
     sets = scratch.save(asked.mapInArrow(give, "sid bigint, body binary"), "sets")
     scratch.drop("blocks", "frequency")
 
-    hub = postings.groupBy("key").agg(F.min(F.struct("sid", "n", "pos")).alias("hub")).select("key", "hub.*")
-    first = hub.alias("a").join(postings.alias("b"), "key").where("a.sid < b.sid").where(_could_link(percent))
-    met = first.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-    links = scratch.save(_verified(met, sets, percent), "links-1")
-    root = components(links, scratch, "round-1")
-
-    placed = postings.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = scratch.save(placed.join(several, "key", "left_semi"), "mixed")
+    links, root = None, None
+    for k in range(HUB_ROUNDS):
+        found = scratch.save(_verified(_with_hubs(postings, root, k, percent), sets, percent), f"links-{k}")
+        links = found if links is None else links.union(found)
+        root = components(links, scratch, f"round-{k}")
+    mixed = scratch.save(_mixed(postings, root), "mixed")
     held = mixed.select("key", "root").distinct()
     across = held.alias("p").join(held.alias("q"), "key").where("p.root < q.root").select("key", F.col("p.root").alias("r1"), F.col("q.root").alias("r2"))
     one = across.join(mixed.withColumnRenamed("root", "r1"), ["key", "r1"]).select("key", "r2", F.struct("sid", "n", "pos").alias("a"))
     more = one.join(mixed.select("key", F.col("root").alias("r2"), F.struct("sid", "n", "pos").alias("b")), ["key", "r2"]).where(_could_link(percent))
-    met2 = more.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
-    links2 = scratch.save(_verified(met2, sets, percent), "links-2")
-    whole = components(links.union(links2), scratch, "round-2")
+    rest = more.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+    whole = components(links.union(scratch.save(_verified(rest, sets, percent), "links-rest")), scratch, "round-rest")
 
     named = docs.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
