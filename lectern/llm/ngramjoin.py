@@ -31,7 +31,9 @@ from lectern.llm.components import components
 from lectern.llm.superkmer import group_starts, spans_hash
 
 
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Bytes of a block; the sets of one take about fifty times as much.
+BLOCK = 2 << 20
 
 
 class Sets:
@@ -205,7 +207,7 @@ def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int)
 
     ``row`` numbers the rows, so that of a component's rows one can be kept.
     """
-    blocks = block_table(df, scratch)
+    blocks = block_table(df, scratch, most=BLOCK)
     buckets = bucket_count(blocks)
     told = ask(blocks, "frequency", _ask_frequency(shingle, buckets), _answer_frequency, scratch)
     postings = scratch.save(_postings(told, shingle, percent, buckets), "postings")
