@@ -14,6 +14,7 @@ import base64
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from lectern.llm.common import sliced
+
 #: Byte b is the character BASE + b: letters of two UTF-8 bytes, away from sentencepiece's own marks.
 BASE = 0x100
 #: Matches kept encoded per task; the table starts anew when it is full.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,13 +72,19 @@ class Codec:
     """Encodes and decodes in one process."""
 
     def __init__(self, model: bytes, pattern: str, ranks: dict[bytes, int]):
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.split = regex.compile(pattern).findall
-        self.ranks = ranks
-        self.pieces = [bytes(ord(c) - BASE for c in self.sp.id_to_piece(i)) for i in range(len(ranks))]
+        self.model, self.split, self.ranks = model, regex.compile(pattern).findall, ranks
         self.table = {b: chr(BASE + b) for b in range(256)}
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def sp(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=self.model)
+
+    @cached_property
+    def pieces(self) -> list[bytes]:
+        """The bytes of each id."""
+        return sorted(self.ranks, key=self.ranks.__getitem__)
+
     def _learn(self, new: list[str]) -> None:
         todo, raw = [], []
         for match in new:
@@ -132,7 +141,7 @@ class ByteBpe:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(key, shared)
-            for batch in batches:
+            for batch in (part for whole in batches for part in sliced(whole, column)):
                 values = [b"" if v is None else work(codec, v) for v in batch.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*batch.schema.names, to])
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,13 @@ def in_blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, len(sizes)
 
 
+def sliced(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of one column, so that few values are Python objects at once."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+    for a, b in in_blocks(sizes, most):
+        yield batch.slice(a, b - a)
+
+
 # --- words -------------------------------------------------------------------------------------
 
 _SEPARATOR = np.zeros(256, bool)
