@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lectern.llm.common import sliced
+from lectern.llm.common import bounded_batches, sliced
 
 #: Byte b is the character BASE + b: letters of two UTF-8 bytes, away from sentencepiece's own marks.
 BASE = 0x100
@@ -131,6 +131,7 @@ class ByteBpe:
     """
 
     def __init__(self, spark, ranks_path: str, pattern: str):
+        bounded_batches(spark)
         ranks = read_ranks(ranks_path)
         self.shared = spark.sparkContext.broadcast((serialise_model(ranks), pattern, ranks))
         self.key = uuid.uuid4().hex

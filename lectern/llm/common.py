@@ -30,10 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches, of which each Python step holds some on either side."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(1 << 40)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables of one query in the shared folder; ``drop`` frees one early, the rest go when the JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path = self._path(self.at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLOCK_BYTES, U64, Words, in_blocks, mix
+from lectern.llm.common import BLOCK_BYTES, U64, Words, bounded_batches, in_blocks, mix
 
 WINDOW, STRIDE = 12, 4
 STEPS, SAMPLED, REPEATS = 24, 6, 4
@@ -176,6 +176,7 @@ def _chunks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[in
 def find(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, similarity, and about where (in words)."""
     spark = df.sparkSession
+    bounded_batches(spark)
 
     def over(chunk: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(chunk)

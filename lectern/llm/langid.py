@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import bounded_batches
+
 UNKNOWN = "und"
 BLOCK = 4_096
 LEVEL = 6
@@ -84,6 +86,7 @@ class Coder:
 
 def classify(df: DataFrame, model: Model, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``accepted``."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     held: list[Coder] = []
 
