@@ -37,7 +37,7 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Limits the session's Arrow batches, of which each Python step holds some on either side."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(1 << 40)).rstrip("b")) > BATCH_BYTES:
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
