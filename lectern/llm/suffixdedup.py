@@ -67,13 +67,13 @@ class Runs:
         h += words[8:] * _C2
         h *= _C3
         h ^= h >> U64(32)
-        m = sliding_min(h, WIDTH - K + 1)[self.at] >> U64(64 - _BITS)
+        m = sliding_min(h, WIDTH - K + 1)[self.at]
         new = np.ones(total, bool)
         new[1:] = (m[1:] != m[:-1]) | (of[1:] != of[:-1])
         self.low = np.flatnonzero(new)
         self.n = np.diff(np.append(self.low, total))
         self.start = self.at[self.low]
-        self.m = m[self.low]
+        self.m = mix(m[self.low]) >> U64(64 - _BITS)  # minima lie near zero; buckets are ranges
         self.doc = ids[of[self.low]]
         self.sums = np.zeros(buf.size + 1, U64)
         np.cumsum(_BYTE[buf] * powers(_Q, buf.size), out=self.sums[1:])
