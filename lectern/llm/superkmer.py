@@ -69,13 +69,13 @@ class Runs:
             self.selfed = np.zeros(0, bool)
             self.order, self.unique = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
-        m = (sliding_min(rolling(h, k), width - k + 1)[self.at]) >> U64(64 - _BITS)
+        m = sliding_min(rolling(h, k), width - k + 1)[self.at]
         new = np.ones(total, bool)
         new[1:] = (m[1:] != m[:-1]) | (self.at[1:] != self.at[:-1] + 1)
         self.low = np.flatnonzero(new)  # index of each run's first window
         self.n = np.diff(np.append(self.low, total))
         self.start = self.at[self.low]
-        self.m = m[self.low]
+        self.m = mix(m[self.low]) >> U64(64 - _BITS)  # minima lie near zero; buckets are ranges
         self.run_hash = spans_hash(h, self.start, self.start + self.n + width - 1)
         inside = mix(self.window_hashes()[0] ^ mix(np.repeat(np.arange(self.low.size, dtype=U64), self.n)))
         self.selfed = np.zeros(self.low.size, bool)
