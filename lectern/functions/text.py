@@ -97,7 +97,7 @@ def chinese_number(text: Column) -> Column:
     """Arabic digits, positional Chinese digits, or Chinese numbers up to 999 as an integer; null for anything else."""
     as_digits = F.translate(text, "".join(DIGITS), "".join(str(v) for v in DIGITS.values()))
     part = lambda pattern: F.regexp_extract(as_digits, pattern, 1)
-    unit = lambda pattern, mark: F.when(F.contains(as_digits, F.lit(mark)), F.coalesce(F.expr("NULL").cast("int"), F.when(part(pattern) == "", 1).otherwise(part(pattern).cast("int")))).otherwise(0)
+    unit = lambda pattern, mark: F.when(F.contains(as_digits, F.lit(mark)), F.when(part(pattern) == "", 1).otherwise(part(pattern).cast("int"))).otherwise(0)
     hundreds, tens = unit(f"([0-9]?){HUNDRED}", HUNDRED), unit(f"([1-9]?){TEN}", TEN)
     ones = F.regexp_extract(as_digits, f"(?:{TEN}|{HUNDRED}0?)([1-9])$", 1)
     composed = hundreds * 100 + tens * 10 + F.when(ones == "", 0).otherwise(ones.cast("int"))
