@@ -3,9 +3,12 @@
 Words are lower-cased (A-Z) runs without ASCII white space. The CGK walk over a window of words emits the word under a
 pointer at each step and moves on or stays by a random bit of that word and step, so windows at a small
 edit distance give sequences at a small Hamming distance. Each of ``REPEATS`` walks samples
-``SAMPLED`` steps as an LSH key. Items give a window at each word, documents one at each ``STRIDE``-th
-word, so each passage of an item's size holds a window aligned with the item's whatever its place; items too
-short for that (under ``WINDOW + STRIDE - 1`` words) meet windows of their own size at each word.
+``SAMPLED`` of its steps as an LSH key. Items and documents give a window at each word.
+
+The target recall is 1 for items of n words with up to ``MAX_EDITS`` * n words put in, left out or replaced: such edits leave
+a run of ``window_size(n)`` words of the item as they were (pigeonhole), and equal windows give equal keys in each walk.
+Windows as large as the item would need hundreds of walks for that. Further walks only add windows that are not equal:
+edits inside more words than that, or in many short ones, are found as far as some window's sampled steps are left alone.
 
 A candidate's region is then searched for the item with an exact edit distance (Myers' bit vectors, best end anywhere): it is
 a hit if at most ``MAX_EDITS`` of the item's characters are edits. White space counts as one space, case of A-Z not.
@@ -26,18 +29,24 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import BLOCK_BYTES, U64, Words, bounded_batches, in_blocks, mix
 
-WINDOW, STRIDE = 12, 4
-STEPS, SAMPLED, REPEATS = 24, 6, 4
+#: Steps a word of the window, the share of them that is sampled, and walks. Fewer steps would leave the last words unseen.
+STEPS, SAMPLED, REPEATS = 4, 0.75, 1
 MAX_EDITS = 0.2
 ITEM_BYTES = 4 << 20
 _SEED = 7
 SCHEMA = "doc_id bigint, item_id bigint, distance int, similarity double, first_word bigint, n_words bigint"
 
 
-def _walks() -> list[tuple[int, frozenset[int]]]:
+def window_size(n: int) -> int:
+    """So many consecutive words of an item of n words stay together however ``MAX_EDITS`` * n word edits fall."""
+    edits = int(n * MAX_EDITS + 1e-9)
+    return -(-(n - edits) // (edits + 1))
+
+
+def _walks(window: int) -> list[tuple[int, frozenset[int]]]:
     """Of each repeat: which bit of a word's hash its first step looks at, and the sampled steps."""
-    rng = np.random.Generator(np.random.PCG64(_SEED))
-    return [(r * STEPS, frozenset(rng.choice(STEPS, SAMPLED, replace=False).tolist())) for r in range(REPEATS)]
+    rng, steps = np.random.Generator(np.random.PCG64(_SEED)), min(STEPS * window, 128 // REPEATS)
+    return [(r * steps, frozenset(rng.choice(steps, -int(-steps * SAMPLED // 1), replace=False).tolist())) for r in range(REPEATS)]
 
 
 def keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> Iterator[np.ndarray]:
@@ -47,7 +56,7 @@ def keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> Iterator[np.nda
         return
     bits = (mix(hashes ^ U64(0xB5026F5AA96619E9)), mix(hashes ^ U64(0x3C79AC492BA7B653)))
     last = (starts + window - 1).astype(np.int32)
-    for r, (shift, sampled) in enumerate(_walks()):
+    for r, (shift, sampled) in enumerate(_walks(window)):
         at, key = starts.astype(np.int32), np.full(starts.size, r + 1, U64)
         for step in range(max(sampled) + 1):
             if step in sampled:
@@ -101,21 +110,19 @@ class Index:
             self.sizes.append(int(n[i]))
             a, b = words.first[i], words.first[i + 1]
             self.norm.append(span_text(words, int(a), int(b)))
-            if n[i] >= WINDOW + STRIDE - 1:
-                chosen.setdefault(0, []).extend((int(a) + k, i, k) for k in range(int(n[i]) - WINDOW + 1))
-            elif n[i]:
-                size = min(int(n[i]), WINDOW)
+            if n[i]:
+                size = window_size(int(n[i]))
                 chosen.setdefault(size, []).extend((int(a) + k, i, k) for k in range(int(n[i]) - size + 1))
         self.classes = []
         for size, found in sorted(chosen.items()):
             starts, item, offset = (np.array(x, np.int64) for x in zip(*found, strict=True))
             tables = []
-            for key in keys(h, starts, size or WINDOW):
+            for key in keys(h, starts, size):
                 order = np.argsort(key, kind="stable")
                 bitmap = np.zeros(1 << 20, bool)
                 bitmap[key & U64((1 << 20) - 1)] = True
                 tables.append((key[order], item[order], offset[order], bitmap))
-            self.classes.append((size or WINDOW, 1 if size else STRIDE, tables))
+            self.classes.append((size, tables))
 
 
 def span_text(words: Words, a: int, b: int) -> str:
@@ -130,11 +137,11 @@ def _hits(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, flo
     words = Words(texts, lower=True)
     h, n = words.hashes(), np.diff(words.first)
     found: set[tuple[int, int, int]] = set()
-    for window, stride, tables in index.classes:
-        count = np.maximum((n - window) // stride + 1, 0) * (n >= window)
+    for window, tables in index.classes:
+        count = np.maximum(n - window + 1, 0)
         ends = np.cumsum(count)
         doc = np.repeat(np.arange(len(texts)), count)
-        starts = (np.arange(doc.size) - np.repeat(ends - count, count)) * stride + words.first[:-1][doc]
+        starts = (np.arange(doc.size) - np.repeat(ends - count, count)) + words.first[:-1][doc]
         for key, (known, item, offset, bitmap) in zip(keys(h, starts, window), tables, strict=True):
             maybe = np.flatnonzero(bitmap[key & U64((1 << 20) - 1)])
             low = np.searchsorted(known, key[maybe], "left")

@@ -63,3 +63,22 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find(docs, items).count() == 0
     assert decontam.find(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_recall_per_length_and_edits():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    for n in (1, 4, 5, 8, 12, 15, 16, 18, 20, 25, 40, 59):
+        items = [(i, " ".join(word() for _ in range(n))) for i in range(40)]
+        index = decontam.Index(items)
+        for edits in range(n // 5 + 1):
+            texts, want = [], set()
+            for d, (_, item) in enumerate(items):
+                part = item.split()
+                for k in rng.sample(range(n), edits):
+                    part[k] = rng.choice([word(), "", f"{part[k]} x"])
+                texts.append(" ".join([word() for _ in range(7)] + part + [word() for _ in range(9)]).encode())
+                if sellers(item, " ".join(texts[-1].decode().split())) <= decontam.MAX_EDITS * len(item):
+                    want.add((d, d))
+            assert want <= {(d, i) for d, i, *_ in decontam._hits(texts, index)}, (n, edits)
+            assert len(want) > 30
