@@ -155,7 +155,7 @@ def _hits(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, flo
     for d, i, at in sorted(found):
         size = index.sizes[i]
         slack = size // 4 + 2
-        if (d, i) in best and best[d, i][0] == 0 or at <= reach.get((d, i), -1):
+        if (d, i) in best and best[d, i][0] == 0 or (d, i) in reach and at <= reach[d, i]:
             continue
         reach[d, i] = at + slack // 2
         a, b = max(int(words.first[d]), at - slack), min(int(words.first[d + 1]), at + size + 2 * slack)

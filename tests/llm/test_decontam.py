@@ -82,3 +82,12 @@ def test_recall_per_length_and_edits():
                     want.add((d, d))
             assert want <= {(d, i) for d, i, *_ in decontam._hits(texts, index)}, (n, edits)
             assert len(want) > 30
+
+
+def test_item_without_its_first_words_opens_a_slice():
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa"
+    index = decontam.Index([(1, item)])
+    for cut in (1, 2):
+        part = " ".join(item.split()[cut:]).encode()
+        rows = [list(decontam._hits([*before, part], index)) for before in ([], [b"some words"])]
+        assert [r[1:] for r in rows[0]] == [r[1:] for r in rows[1]] and len(rows[0]) == 1
