@@ -9,8 +9,8 @@ dictionary in each block rather than on its own beginning. Of equal sizes the la
 training rows comes first, then the alphabetical order.
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected; with one learned
-language the margin is 1. The training sample is bounded: ``pieces`` distinct texts per language, of each
-one piece of ``piece_chars`` characters at a place given by the text's hash.
+language the margin is 1. The training sample is bounded: the ``pieces`` distinct texts of a
+language with the smallest hashes, of each one piece of ``piece_chars`` characters at a place given by the text's hash.
 """
 
 from __future__ import annotations
@@ -49,11 +49,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", pieces: int
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model({}, {})
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 8.0 * pieces / n)))])
-    hashed = rows.withColumn("h", F.xxhash64("t")).where(F.pmod("h", F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
+    hashed = rows.withColumn("h", F.xxhash64("t"))
+    # copies go before the ranks, so that a language of many rows and few texts keeps all of those
+    ranked = hashed.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    chosen = ranked.where(F.col("n") <= pieces).select("l", "h")
     place = F.pmod(F.xxhash64("h", F.lit("place")), F.greatest(F.lit(1), F.length("t") - piece_chars + 1)).cast("int") + 1
-    cut = hashed.select("l", "h", F.substring(F.col("t"), place, F.lit(piece_chars)).alias("piece")).dropDuplicates(["l", "h"])
-    first = cut.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= pieces)
+    first = hashed.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring(F.col("t"), place, F.lit(piece_chars))).alias("piece"))
     found: dict[str, list[str]] = {}
     for r in sorted(first.collect(), key=lambda r: (r.l, r.h)):
         found.setdefault(r.l, []).append(r.piece.casefold())

@@ -43,3 +43,12 @@ def test_edges(spark, model):
 def test_nothing_learned(spark):
     model = langid.fit(spark.createDataFrame([], "text string, lang string"))
     assert langid.classify(spark.createDataFrame([("x y",)], "text string"), model).first().lang_pred == "und"
+
+
+def test_languages_of_copies_keep_their_texts(spark):
+    few = [f"der hund nummer {'x' * (i + 1)} und die katze gehen nach haus" for i in range(20)]
+    one, two = spark.range(60_000).selectExpr("'the cat and the dog went home' AS text", "'en' AS lang"), spark.createDataFrame([(t, "de") for t in few], "text string, lang string")
+    model = langid.fit(one.union(two.crossJoin(spark.range(3_000)).select("text", "lang")))
+    assert model.dictionaries["en"].decode() == "the cat and the dog went home"
+    assert sorted(model.dictionaries["de"].decode().split("\n")) == sorted(few)
+    assert model.rows == {"en": 60_000, "de": 60_000}
