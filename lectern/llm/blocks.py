@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import BLOCK_BYTES, U64, Scratch, in_blocks
 
+#: Rows of a block at most: null and empty texts have no bytes that would close one.
+BLOCK_ROWS = 1 << 16
 _SCHEMA = "block_id bigint, ids array<bigint>, sizes binary, body binary"
 
 
@@ -82,8 +84,8 @@ class Block:
         self.answers = {k: {x["bucket"]: x["body"] for x in v or ()} for k, v in row.items() if k not in ("block_id", "ids", "sizes", "body")}
 
 
-def block_table(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
-    """The documents as saved blocks; null texts are empty. A document never spans blocks."""
+def block_table(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The documents as saved blocks of about ``most`` bytes and at most ``rows`` rows; null texts are empty. A document never spans blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -96,9 +98,10 @@ def block_table(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: s
 
         for batch in batches:
             new_ids, new = batch.column(0).to_pylist(), [b"" if v is None else v for v in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in in_blocks(list(map(len, new)), most):
+            spans = [(k, min(k + rows, b)) for a, b in in_blocks(list(map(len, new)), most) for k in range(a, b, rows)]
+            for a, b in spans:
                 size = sum(map(len, new[a:b]))
-                if texts and held + size > most:
+                if texts and (held + size > most or len(texts) + b - a > rows):
                     yield out()
                     n, ids, texts, held = n + 1, [], [], 0
                 ids, texts, held = ids + new_ids[a:b], texts + new[a:b], held + size

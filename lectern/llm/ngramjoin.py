@@ -203,9 +203,9 @@ def _with_hubs(postings: DataFrame, root: DataFrame | None, turn: int, percent:
 
 
 def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) per row; documents without link are components of their own.
+    """(doc_id, block_id, row, n_shingles, component_id) per row; documents without link are components of their own.
 
-    ``row`` numbers the rows, so that of a component's rows one can be kept.
+    ``block_id`` and ``row`` number the rows, so that of a component's rows one can be kept.
     """
     blocks = block_table(df, scratch, most=BLOCK)
     buckets = bucket_count(blocks)
@@ -215,10 +215,10 @@ def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int)
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
             sets = Sets(block.texts, shingle)
-            row = np.arange(len(block.ids)) + (block.block_id << 20)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(row, pa.int64()), pa.array(sets.sizes), pa.array(sets.sid, mask=sets.sizes == 0)], names=["doc_id", "row", "n_shingles", "sid"])
+            block_id, row = pa.array([block.block_id] * len(block.ids), pa.int64()), pa.array(range(len(block.ids)), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), block_id, row, pa.array(sets.sizes), pa.array(sets.sid, mask=sets.sizes == 0)], names=["doc_id", "block_id", "row", "n_shingles", "sid"])
 
-    docs = scratch.save(blocks.mapInArrow(describe, "doc_id bigint, row bigint, n_shingles bigint, sid bigint"), "docs")
+    docs = scratch.save(blocks.mapInArrow(describe, "doc_id bigint, block_id bigint, row bigint, n_shingles bigint, sid bigint"), "docs")
     meeting = postings.select(F.col("sid").alias("want")).distinct()
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +231,8 @@ def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int)
                     yield pa.RecordBatch.from_arrays([pa.array([int(sets.sid[i])], pa.int64()), pa.array([body], pa.binary())], names=["sid", "body"])
 
     # only sets that meet another are written; which block has them is found by id alone
-    holders = docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).join(meeting, F.col("sid") == F.col("want"))
-    wanted = holders.groupBy(F.shiftright("row", 20).alias("block_id")).agg(F.collect_list("sid").alias("sids"))
+    holders = docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("block_id").alias("block_id")).join(meeting, F.col("sid") == F.col("want"))
+    wanted = holders.groupBy("block_id").agg(F.collect_list("sid").alias("sids"))
     asked = blocks.join(wanted, "block_id").withColumn("wanted", F.expr("array(named_struct('bucket', 0, 'body', sids))")).drop("sids")
     sets = scratch.save(asked.mapInArrow(give, "sid bigint, body binary"), "sets")
     scratch.drop("blocks", "frequency")
@@ -252,7 +252,7 @@ def join_components(df: DataFrame, scratch: Scratch, shingle: int, percent: int)
 
     named = docs.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", "row", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select("doc_id", "block_id", "row", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def result(df: DataFrame, scratch: Scratch, shingle: int = 4, percent: int = 85) -> DataFrame:

@@ -63,3 +63,12 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(60, 61), (61, 60), (70, 70)], "a long, b long")
     got = {r.node: r.root for r in components(links, Scratch(spark, "t"), "c").collect()}
     assert got == {i: 0 for i in range(51)} | {60: 60, 61: 60}
+
+
+def test_documents_behind_many_empty_rows_link(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty alpha bravo charlie delta"
+    full = spark.createDataFrame([(2_000_001, text), (2_000_002, text + " echo")], "doc_id long, text string")
+    df = spark.range(0, 1_100_000, 1, 1).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text").union(full).coalesce(1)
+    got = ngramjoin.result(df, Scratch(spark, "t"))
+    assert {(r.doc_id, r.component_id) for r in got.where("n_shingles > 0").collect()} == {(2_000_001, 2_000_001), (2_000_002, 2_000_001)}
+    assert got.count() == 1_100_002
