@@ -24,6 +24,7 @@ from lectern.llm.common import BLOCK_BYTES, U64, Scratch, in_blocks
 #: Rows of a block at most: null and empty texts have no bytes that would close one.
 BLOCK_ROWS = 1 << 16
 _SCHEMA = "block_id bigint, ids array<bigint>, sizes binary, body binary"
+_OWN = ("block_id", "ids", "sizes", "body")
 
 
 def lean() -> None:
@@ -74,27 +75,34 @@ def split_bodies(body: bytes) -> list[bytes]:
 
 
 class Block:
-    """One row of a block table, opened. ``answers``: by question, the answers by bucket."""
+    """One row of a block table, opened. ``answers``: by question, the answers by bucket; ``more``: the table's own further columns."""
 
     def __init__(self, row: dict):
         self.block_id, self.ids = row["block_id"], row["ids"]
         sizes, body = np.frombuffer(row["sizes"], np.int64), unsqueeze(row["body"])
         cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
         self.texts = [body[a:b] for a, b in zip(cuts, cuts[1:])]
-        self.answers = {k: {x["bucket"]: x["body"] for x in v or ()} for k, v in row.items() if k not in ("block_id", "ids", "sizes", "body")}
+        self.more = {k: v for k, v in row.items() if k not in _OWN and isinstance(v, bytes)}
+        self.answers = {k: {x["bucket"]: x["body"] for x in v or ()} for k, v in row.items() if k not in _OWN and k not in self.more}
 
 
-def block_table(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> DataFrame:
-    """The documents as saved blocks of about ``most`` bytes and at most ``rows`` rows; null texts are empty. A document never spans blocks."""
+def block_table(
+    df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS, more: tuple[str, ...] = (), describe: Callable[[list[bytes]], list[bytes]] | None = None
+) -> DataFrame:
+    """The documents as saved blocks of about ``most`` bytes and at most ``rows`` rows; null texts are empty. A document never spans blocks.
+
+    ``describe`` gives a block's texts binary columns of the names in ``more``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         n, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
-        names = ["block_id", "ids", "sizes", "body"]
 
         def out():
             sizes = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
             arrays = [pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([squeeze(b"".join(texts), 3)], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            arrays += [pa.array([v], pa.binary()) for v in (describe(texts) if describe else [])]
+            return pa.RecordBatch.from_arrays(arrays, names=[*_OWN, *more])
 
         for batch in batches:
             new_ids, new = batch.column(0).to_pylist(), [b"" if v is None else v for v in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -108,7 +116,8 @@ def block_table(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: s
         if texts:
             yield out()
 
-    return scratch.save(df.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, _SCHEMA), "blocks")
+    schema = ", ".join([_SCHEMA, *(f"{name} binary" for name in more)])
+    return scratch.save(df.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, schema), "blocks")
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:

@@ -35,9 +35,10 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limits the session's Arrow batches, of which each Python step holds some on either side."""
+    """Limits the session's Arrow batches, of which each Python step holds some on either side; a smaller limit stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if size > BATCH_BYTES or size <= 0:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
@@ -157,15 +158,21 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not self.starts.size:
-            return np.zeros(0, U64)
-        n = self.buf.size
-        sums = np.empty(n + 1, U64)
-        sums[0] = 0
-        np.cumsum(_BYTE[self.buf] * powers(_P, n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * powers(_P_INVERSE, n)[self.starts]
-        return mix(h ^ ((self.ends - self.starts).astype(U64) << U64(56)))
+        """A 64-bit hash of each word's bytes; the sums that it takes are made for some megabytes of text at a time."""
+        out = np.empty(self.starts.size, U64)
+        at = 0
+        while at < self.starts.size:
+            low = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, low + BLOCK_BYTES, "right")))
+            starts, ends = self.starts[at:to] - low, self.ends[at:to] - low
+            n = int(ends[-1])
+            sums = np.empty(n + 1, U64)
+            sums[0] = 0
+            np.cumsum(_BYTE[self.buf[low : low + n]] * powers(_P, n), out=sums[1:])
+            h = (sums[ends] - sums[starts]) * powers(_P_INVERSE, n)[starts]
+            out[at:to] = mix(h ^ ((ends - starts).astype(U64) << U64(56)))
+            at = to
+        return out
 
 
 _R = U64(0xD6E8FEB86659FD93)
