@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,23 +66,63 @@ def test_empty(spark):
     assert decontam.find(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
 
 
-def test_recall_per_length_and_edits():
+def spread_evenly(text, share, rng):
+    out, n = list(text), len(text)
+    k = int(n * share)
+    begin = rng.random() * n / max(k, 1)
+    for j in range(k):
+        at = int(begin + j * n / k)
+        if at < n:
+            out[at] = rng.choice([c for c in "abcdefghijklmnop" if c != out[at]])
+    return "".join(out)
+
+
+def anywhere(text, share, rng):
+    out = list(text)
+    for _ in range(int(len(text) * share)):
+        at = rng.randrange(len(out))
+        rng.choice([lambda: out.pop(at), lambda: out.insert(at, rng.choice("abcdefghijklmnop ")), lambda: out.__setitem__(at, rng.choice("abcdefghijklmnop"))])()
+    return "".join(out)
+
+
+def whole_words(text, share, rng):
+    out = text.split()
+    for at in sorted(rng.sample(range(len(out)), int(len(out) * share)), reverse=True):
+        rng.choice([lambda: out.pop(at), lambda: out.insert(at, "other"), lambda: out.__setitem__(at, "other")])()
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("edit, shares", [(spread_evenly, (0.0, 0.03, 0.05, 0.08, 0.1)), (anywhere, (0.05, 0.1, 0.15, 0.2)), (whole_words, (0.05, 0.1, 0.2))])
+def test_recall_by_length_and_edits(edit, shares):
+    """At least 0.9 of the true hits, by the items' words and the share of edits; real words of the benchmark table."""
     rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
-    for n in (1, 4, 5, 8, 12, 15, 16, 18, 20, 25, 40, 59):
-        items = [(i, " ".join(word() for _ in range(n))) for i in range(40)]
+    given_items = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/benchmark.parquet' ORDER BY item_id").fetchall()]
+    others = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) > 400 ORDER BY doc_id LIMIT 40").fetchall()]
+    words = " ".join(given_items).lower().split()
+    for n in (15, 20, 40, 59, 80):
+        items = [(i, " ".join(words[at : at + n])) for i in range(60) for at in [rng.randrange(len(words) - n)]]
         index = decontam.Index(items)
-        for edits in range(n // 5 + 1):
+        for share in shares:
             texts, want = [], set()
             for d, (_, item) in enumerate(items):
-                part = item.split()
-                for k in rng.sample(range(n), edits):
-                    part[k] = rng.choice([word(), "", f"{part[k]} x"])
-                texts.append(" ".join([word() for _ in range(7)] + part + [word() for _ in range(9)]).encode())
-                if sellers(item, " ".join(texts[-1].decode().split())) <= decontam.MAX_EDITS * len(item):
+                part = edit(item, share, rng)
+                texts.append(f"{rng.choice(others)[:300]} {part} {rng.choice(others)[:300]}".encode())
+                if decontam.distance(item, " ".join(part.split()))[0] <= decontam.MAX_EDITS * len(item):
                     want.add((d, d))
-            assert want <= {(d, i) for d, i, *_ in decontam._hits(texts, index)}, (n, edits)
-            assert len(want) > 30
+            got = {(d, i) for d, i, *_ in decontam._hits(texts, index)}
+            assert len(want) >= 40 and len(want & got) >= 0.9 * len(want), (n, share, len(want & got), len(want))
+
+
+def test_expected_recall():
+    assert decontam.expected_recall(decontam.TARGET_WORDS, decontam.MAX_EDITS) > 0.95 > decontam.expected_recall(decontam.TARGET_WORDS - 1, decontam.MAX_EDITS)
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 60)
+    items = [(i, f"item number {i} has these words {i * 7} and those {i * 11}") for i in range(7)]
+    docs = spark.createDataFrame([(i, f"before {t} behind") for i, t in items], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(docs, spark.createDataFrame(items, "item_id long, text string")).where("distance = 0").collect()}
+    assert got == {(i, i) for i in range(7)}
 
 
 def test_item_without_its_first_words_opens_a_slice():
