@@ -5,8 +5,8 @@ moves on or stays by a random bit of that byte and step, so texts at a small edi
 Hamming distance. Items and documents are walked from each of their words, the item's anchors. The first
 ``SAMPLED`` of ``STEPS`` steps over ``RUN`` bytes are the LSH key: where an item's and a document's word have one key, the
 item-sized window around both is walked on to the item's end and back to its beginning, and a candidate is kept if
-at least ``AGREE`` of all those steps' bytes are equal (a first look at ``LOOK`` steps each way drops most others). Its region is then
-searched for the item with an exact edit distance (Myers' bit vectors, best end anywhere): a hit has at most ``MAX_EDITS`` of the item's characters as edits.
+at least ``AGREE`` of all those steps' bytes are equal (a first look at ``LOOK`` steps each way drops most others), and ``ALL_AGREE`` over
+``REPEATS`` walks with other random bits, of which one alone may happen to agree. Its region is then searched for the item with an exact edit distance (Myers' bit vectors, best end anywhere): a hit has at most ``MAX_EDITS`` of the item's characters as edits.
 
 Recall: the anchors are the repeats. An anchor's key is sure to be found where ``RUN`` bytes from its word on are as they were, which with
 a share e of edits at random places has a chance of (1 - e) ** RUN; of n words, one at least has it with 1 - (1 - (1 - e) ** RUN) ** n
@@ -34,7 +34,9 @@ from lectern.llm.common import _SEPARATOR, BLOCK_BYTES, U64, Scratch, Words, bou
 #: Bytes of an anchor's window, the walk's steps over it and how many of them are sampled.
 RUN, STEPS, SAMPLED = 7, 20, 15
 #: Steps of the walk each way over the item-sized window, those of the first look, and the shares that must agree.
-WALK, LOOK, LOOK_AGREE, AGREE = 96, 32, 0.4, 0.45
+WALK, LOOK, LOOK_AGREE, AGREE = 96, 32, 0.36, 0.42
+#: Walks of the window with other random bits, and the share that must agree in all of them together.
+REPEATS, ALL_AGREE = 2, 0.43
 MAX_EDITS = 0.2
 #: From so many words on an item's recall at ``MAX_EDITS`` is over 0.95 by ``expected_recall``.
 TARGET_WORDS = 13
@@ -42,7 +44,7 @@ ITEM_BYTES = 1 << 20
 _SEED = 7
 _RNG = np.random.Generator(np.random.PCG64(_SEED))
 #: Whether the pointer moves on at a step from a byte.
-_MOVES = _RNG.integers(0, 2, (2 * WALK, 256)).astype(np.int32)
+_MOVES = _RNG.integers(0, 2, (REPEATS, 2 * WALK, 256)).astype(np.int32)
 _SAMPLE = frozenset(_RNG.choice(STEPS, SAMPLED, replace=False).tolist())
 _BITMAP = 20
 SCHEMA = "doc_id bigint, item_id bigint, distance int, similarity double, first_word bigint, n_words bigint"
@@ -85,18 +87,18 @@ def keys(plain: Plain, starts: np.ndarray, high: np.ndarray) -> np.ndarray:
             key *= U64(0x9E3779B97F4A7C15)
             key ^= byte
             key ^= key >> U64(29)
-        at += _MOVES[step][byte]
+        at += _MOVES[0, step][byte]
         np.minimum(at, last, out=at)
     return mix(key)
 
 
-def walk(buf: np.ndarray, at: np.ndarray, limit: np.ndarray, way: int, steps: int) -> Iterator[np.ndarray]:
+def walk(buf: np.ndarray, at: np.ndarray, limit: np.ndarray, way: int, steps: int, repeat: int) -> Iterator[np.ndarray]:
     """The byte under each pointer at each step, on (way 1) or back (way -1) to the limit."""
     at, stop = at.astype(np.int32), np.minimum if way > 0 else np.maximum
     for step in range(steps):
         byte = buf[at]
         yield byte
-        at += way * _MOVES[step + (WALK if way < 0 else 0)][byte]
+        at += way * _MOVES[repeat, step + (WALK if way < 0 else 0)][byte]
         stop(at, limit, out=at)
 
 
@@ -148,20 +150,22 @@ class Index:
         #: steps that count, on and back
         self.counted = [np.minimum(WALK, 2 * ahead).astype(np.int16), np.minimum(WALK, 2 * self.offset).astype(np.int16)]
         limits = (plain.high[self.item] - 1).astype(np.int32), plain.low[self.item].astype(np.int32)
-        self.walks = [np.stack(list(walk(plain.buf, start, limit, way, WALK))) if start.size else np.zeros((WALK, 0), np.uint8) for limit, way in zip(limits, (1, -1))]
+        none = np.zeros((WALK, 0), np.uint8)
+        self.walks = [[np.stack(list(walk(plain.buf, start, limit, way, WALK, r))) if start.size else none for limit, way in zip(limits, (1, -1))] for r in range(REPEATS)]
         self.bitmap = np.zeros(1 << _BITMAP, bool)
         self.bitmap[(self.key & U64((1 << _BITMAP) - 1)).astype(np.int64)] = True
 
-    def agreeing(self, plain: Plain, at: np.ndarray, anchor: np.ndarray, steps: int) -> np.ndarray:
+    def agreeing(self, plain: Plain, at: np.ndarray, anchor: np.ndarray, steps: int, repeats: int) -> np.ndarray:
         """The share of the steps over the item-sized window, so many each way at most, at which document and item have one byte."""
         text = plain.text_of[np.searchsorted(plain.starts, at)]
         same, of = np.zeros(at.size, np.int32), np.zeros(at.size, np.int32)
         limits = (plain.high[text] - 1).astype(np.int32), plain.low[text].astype(np.int32)
-        for known, counted, limit, way in zip(self.walks, self.counted, limits, (1, -1)):
-            n = np.minimum(counted[anchor], steps)
-            for step, byte in enumerate(walk(plain.buf, at, limit, way, steps)):
-                same += (byte == known[step][anchor]) & (step < n)
-            of += n
+        for r in range(repeats):
+            for known, counted, limit, way in zip(self.walks[r], self.counted, limits, (1, -1)):
+                n = np.minimum(counted[anchor], steps)
+                for step, byte in enumerate(walk(plain.buf, at, limit, way, steps, r)):
+                    same += (byte == known[step][anchor]) & (step < n)
+                of += n
         return same / np.maximum(of, 1)
 
 
@@ -178,8 +182,8 @@ def _candidates(plain: Plain, index: Index) -> Iterator[tuple[np.ndarray, np.nda
         k = n[done:to]
         at = plain.starts[np.repeat(maybe[done:to], k)]
         anchor = np.arange(int(k.sum())) + np.repeat(low[done:to] - (np.cumsum(k) - k), k)
-        for steps, share in ((LOOK, LOOK_AGREE), (WALK, AGREE)):
-            good = index.agreeing(plain, at, anchor, steps) >= share
+        for steps, repeats, share in ((LOOK, 1, LOOK_AGREE), (WALK, 1, AGREE), (WALK, REPEATS, ALL_AGREE)):
+            good = index.agreeing(plain, at, anchor, steps, repeats) >= share
             at, anchor = at[good], anchor[good]
         yield at, anchor
         done = to
