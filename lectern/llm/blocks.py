@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,23 @@ def lean() -> None:
         return
 
 
+@cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    """One a process and level: a task's Python process has one thread."""
+    return zstandard.ZstdCompressor(level=level)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeeze(data: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data)
+    return _compressor(level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _decompressor().decompress(data)
 
 
 def pack(values: np.ndarray, ordered: bool = False) -> bytes:

@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document of a smaller id go.
 
 Texts are cut into shards that keep equal strings together: a 50-byte window's minimiser is the least hash of its
-16-byte parts, consecutive windows that share one form a run, and a run goes to its minimiser's shard. The shards first tell
+24-byte parts, consecutive windows that share one form a run, and a run goes to its minimiser's shard. The shards first tell
 the smallest document of each whole run, and whether its minimiser has other runs. Each distinct run of
 such a minimiser then travels once, from its smallest document, and the shard's strings are sorted by external
 induced sorting with common-prefix lengths (``induced``): neighbours that share 50 bytes are equal windows. A
@@ -25,9 +25,10 @@ from lectern.llm.blocks import Block, ask, block_table, bucket_count, cut_by_buc
 from lectern.llm.common import _BYTE, U64, Scratch, mix, powers, sliding_min
 from lectern.llm.superkmer import group_starts
 
-WIDTH, K = 50, 16
+#: A window and the parts whose least hash is its minimiser: few parts of 24 bytes are in different runs by chance.
+WIDTH, K = 50, 24
 HOT = 2_048
-#: Bytes of a block; a block's hashes take about seventy times as much, a shard of its size about a hundred times.
+#: Bytes of a block; a block's hashes take about seventy times as much; a shard gets the strings of about three blocks, of which few are sent, and takes about a hundred times what it gets.
 BLOCK = 2 << 20
 _BITS = 48
 _Q = U64(0xA0761D6478BD642F)
@@ -62,11 +63,14 @@ class Runs:
         of = np.repeat(np.arange(len(texts), dtype=np.int32), n_windows)
         self.at = np.arange(total) + np.repeat(self.offsets[:-1] - (ends - n_windows), n_windows)
         words = _loads(buf)
-        h = words[:-8] * _C1
+        h = words[: -K + 8] * _C1
         h ^= h >> U64(29)
-        h += words[8:] * _C2
+        h += words[8:-8] * _C2
         h *= _C3
         h ^= h >> U64(32)
+        h += words[16:] * _C1
+        h *= _C2
+        h ^= h >> U64(31)
         m = sliding_min(h, WIDTH - K + 1)[self.at]
         new = np.ones(total, bool)
         new[1:] = (m[1:] != m[:-1]) | (of[1:] != of[:-1])
@@ -108,8 +112,9 @@ class Runs:
 def _ask_runs(buckets: int):
     def request(block: Block):
         runs = Runs(block.texts, block.ids)
-        for bucket, a, b in cut_by_bucket(runs.m[runs.lead], _BITS, buckets):
-            yield bucket, join_bodies(pack(runs.m[runs.lead][a:b], True), pack(runs.hash[runs.lead][a:b]), pack(runs.least[a:b]))
+        m, h = runs.m[runs.lead], runs.hash[runs.lead]
+        for bucket, a, b in cut_by_bucket(m, _BITS, buckets):
+            yield bucket, join_bodies(pack(m[a:b], True), pack(h[a:b]), pack(runs.least[a:b]))
 
     return request
 
@@ -257,7 +262,7 @@ def _covered(block: Block, runs: Runs, buckets: int) -> np.ndarray:
 def remove_earlier(df: DataFrame, scratch: Scratch) -> DataFrame:
     """Per row (doc_id, kept, n_bytes, spans): the bytes left, and the removed spans as pairs of byte offsets."""
     blocks = block_table(df, scratch, most=BLOCK)
-    buckets = bucket_count(blocks, 1)
+    buckets = bucket_count(blocks, 3)
     told = ask(blocks, "runs", _ask_runs(buckets), _answer_runs, scratch)
     told = ask(told, "windows", _ask_windows(buckets), _answer_windows, scratch)
 
