@@ -23,25 +23,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that later occurrences of three-line windows cover."""
-    cut = linededup.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    cut = linededup.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked at a similarity of 0.8 on five-word shingles."""
     scratch = Scratch(spark, "pipeline-join")
-    held = scratch.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "held")
-    groups = ngramjoin.join_components(held.select(F.col("_uid").alias("doc_id"), "text"), scratch, shingle=5, percent=80)
-    named = held.select("_uid", "doc_id").join(groups.select(F.col("doc_id").alias("_uid"), "component_id"), "_uid")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_uid"))
-    stay = named.groupBy("component_id").agg(F.min_by("_uid", order).alias("_uid")).select("_uid")
-    return held.join(stay, "_uid", "left_semi").select(*docs.columns)
+    # a row's columns travel as one struct, so that none can clash with those made here
+    held = scratch.save(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "held")
+    groups = ngramjoin.join_components(held.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), scratch, shingle=5, percent=80)
+    named = held.select("uid", F.col("row.doc_id").alias("doc_id")).join(groups.select(F.col("doc_id").alias("uid"), "component_id"), "uid")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
+    stay = named.groupBy("component_id").agg(F.min_by("uid", order).alias("uid")).select("uid")
+    return held.join(stay, "uid", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of ``benchmark``; rows of one id go together."""
-    hits = decontam.find(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")
+    hits = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = codec.decode(codec.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    coded = codec.both(docs.select("doc_id", "lang", "source", "text"))
     return coded.select(
         "doc_id", "lang", "source", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -127,7 +127,7 @@ def _codec(key: str, shared) -> Codec:
 class ByteBpe:
     """The operator. ``ranks_path``: a rank file; ``pattern``: what a text is split by before the merges.
 
-    The model (of the size of the vocabulary file, about 1 MB) is read once on the driver and broadcast.
+    The model (of the size of the vocabulary file, about 1 MB) is read once on the driver and broadcast. A column of the output's name is replaced.
     """
 
     def __init__(self, spark, ranks_path: str, pattern: str):
@@ -138,13 +138,14 @@ class ByteBpe:
 
     def _over(self, df: DataFrame, column: str, to: str, work) -> DataFrame:
         shared, key = self.shared, self.key
-        schema = StructType([*df.schema.fields, StructField(to, BinaryType())])
+        rest = [f for f in df.schema.fields if f.name != to]
+        schema = StructType([*rest, StructField(to, BinaryType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(key, shared)
             for batch in (part for whole in batches for part in sliced(whole, column)):
                 values = [b"" if v is None else work(codec, v) for v in batch.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*batch.schema.names, to])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(values, pa.binary())], names=[*(f.name for f in rest), to])
 
         return df.mapInArrow(run, schema)
 
@@ -157,13 +158,28 @@ class ByteBpe:
         return self._over(df, ids, to, lambda codec, v: codec.decode(v))
 
 
+    def both(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """``df`` with ``ids`` and ``decoded``, the bytes that the ids stand for, of one pass over the rows; the text is left out."""
+        shared, key = self.shared, self.key
+        rest = [f for f in df.schema.fields if f.name not in (text, "ids", "decoded")]
+        schema = StructType([*rest, StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = _codec(key, shared)
+            for batch in (part for whole in batches for part in sliced(whole, text)):
+                ids = [b"" if v is None else codec.encode(v) for v in batch.column(text).to_pylist()]
+                decoded = list(map(codec.decode, ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=schema.names)
+
+        return df.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, bpe: ByteBpe) -> DataFrame:
     """One row per document: n_tokens, and SHA-256 of the packed ids and of the decoded bytes.
 
     A text is encoded and decoded in one pass over the rows; extra columns of the input are left out.
     """
-    coded = bpe.decode(bpe.encode(df.select("doc_id", "text")).drop("text"))
-    return coded.select(
+    return bpe.both(df.select("doc_id", "text")).select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

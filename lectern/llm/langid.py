@@ -86,7 +86,7 @@ class Coder:
 
 
 def classify(df: DataFrame, model: Model, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``accepted``."""
+    """``df`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``accepted``; columns of these names in ``df`` are replaced, any others stay."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     held: list[Coder] = []
@@ -98,6 +98,9 @@ def classify(df: DataFrame, model: Model, text: str = "text", min_margin: float
         found = [held[0].predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
-    named = df.withColumn("_lang", predicted(F.col(text)))
-    pred, score = F.col("_lang.lang_pred"), F.col("_lang.score")
-    return named.withColumns({"lang_pred": pred, "score": score, "accepted": (pred != UNKNOWN) & (score >= min_margin)}).drop("_lang")
+    told = predicted(F.col(text))
+    # a row's columns travel as one struct, so that none can clash with the prediction
+    named = df.select(F.struct(*df.columns).alias("row"), told.alias("told"))
+    pred, score = F.col("told.lang_pred"), F.col("told.score")
+    own = [F.col("row")[c].alias(c) for c in df.columns if c not in ("lang_pred", "score", "accepted")]
+    return named.select(*own, pred.alias("lang_pred"), score.alias("score"), ((pred != UNKNOWN) & (score >= min_margin)).alias("accepted"))

@@ -7,7 +7,7 @@ what is left.
 
 Texts of fewer than three lines have no window and stay as they are, so do null texts (0 lines) and
 empty ones (1 line). Null ids come before all others. Rows with the same id are copies of one
-document and lose the same lines. Other columns pass through unchanged.
+document and lose the same lines. Other columns pass through unchanged, whatever their names; ``n_lines`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -35,19 +35,24 @@ def later_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``df`` with the text cut, ``n_lines`` and ``n_removed``."""
-    places = later_windows(df, doc_id, text, width).withColumnRenamed("_id", "_of")
-    joined = df.join(places, df[doc_id].eqNullSafe(places["_of"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
+    """``df`` with the text cut, ``n_lines`` and ``n_removed``; columns of these two names in ``df`` are replaced, any others stay."""
+    # a row's columns travel as one struct, so that none can clash with those made here
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("id"), F.split(F.col(text), "\n", -1).alias("lines"))
+    places = later_windows(df, doc_id, text, width).withColumnRenamed("_id", "of")
+    joined = rows.join(places, rows["id"].eqNullSafe(places["of"]), "left")
     # merged positions: line i goes if a later window starts at i, i-1 or i-2
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1)))))
-    kept = F.filter(F.transform(lines, lambda line, i: F.when(~F.array_contains(F.col("_covered"), i), line)), lambda line: line.isNotNull())
-    out = joined.withColumn("_covered", covered).select(
-        *[F.when(F.col("_covered").isNull(), df[text]).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else df[c] for c in df.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(F.col("_covered")), F.lit(0)).cast("bigint").alias("n_removed"),
+    covered = joined.select("row", "lines", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1))))).alias("covered"))
+    # lines and covered positions in one sorted array: a line goes if its own position stands before it
+    line = F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x.alias("line")))
+    gone = F.transform("covered", lambda i: F.struct(i.cast("int").alias("i"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("line")))
+    merged = covered.select("row", "lines", F.size("covered").alias("gone"), F.when(F.col("covered").isNotNull(), F.array_sort(F.concat(line, gone))).alias("merged"))
+    kept = F.expr("transform(filter(merged, (x, j) -> x.kind = 1 AND NOT (j > 0 AND merged[greatest(j - 1, 0)].i = x.i)), x -> x.line)")
+    own = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    return merged.select(
+        *[F.when(F.col("merged").isNull(), F.col("row")[c]).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col("row")[c].alias(c) for c in own],
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias("n_lines"),
+        F.when(F.col("merged").isNull(), 0).otherwise(F.col("gone")).cast("bigint").alias("n_removed"),
     )
-    return out
 
 
 SQL = """

@@ -47,6 +47,14 @@ def test_query_shape(spark):
     assert all(r.decoded_sha256 == empty for r in out if r.doc_id != 1)
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Hello", "x", "y")], "doc_id long, text string, ids string, decoded string")
+    codec = bpe.ByteBpe(spark, PATH, public_tokenizers.PATTERN)
+    for out in (codec.decode(codec.encode(df)), codec.both(df)):
+        r = out.collect()[0]
+        assert bytes(r.decoded) == b"Hello" and bytes(r.ids) == ids("Hello") and len(set(out.columns)) == len(out.columns)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(df, bpe.ByteBpe(spark, PATH, public_tokenizers.PATTERN)).count() == 0

@@ -20,9 +20,25 @@ def brute(rows):
 
 def test_brute_force(spark):
     rows = [(1, "a\nb\nc\nd", 9), (2, "x\na\nb\nc\ny", 9), (3, "a\nb\nc\na\nb\nc", 9), (4, None, 9), (5, "", 9), (6, "a\nb", 9), (6, "a\nb", 9), (None, "q\nr\ns", 9), (7, "q\nr\ns", 9), (8, "\n\n\n\n", 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int").drop("n_lines")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
     out = linededup.dedup_lines(df)
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == brute(rows)
+    assert {(r.doc_id, r.n_lines, r.n_removed) for r in out.where("doc_id IN (2, 4, 5)").collect()} == {(2, 5, 3), (4, 0, 0), (5, 1, 0)}
+
+
+def test_clashing_columns(spark):
+    names = ["places", "_covered", "covered", "n_removed", "row", "lines", "merged", "id", "of", "_id", "pos", "h1", "first", "kind"]
+    rows = [(i, "a\nb\nc", *range(len(names))) for i in range(3)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in out) == [(0, "a\nb\nc", 0), (1, "", 3), (2, "", 3)]
+    assert all(r[n] == k for r in out for k, n in enumerate(names) if n != "n_removed")
+
+
+def test_a_text_of_many_repeated_lines(spark):
+    """Lines times covered lines would be 10^10 here."""
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    out = linededup.dedup_lines(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string"))
+    assert {(r.doc_id, r.n_lines, r.n_removed) for r in out.collect()} == {(1, 100_000, 0), (2, 100_001, 100_000)}
 
 
 def test_empty(spark):

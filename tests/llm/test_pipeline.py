@@ -54,3 +54,15 @@ def test_edges(spark):
             docs = stage(spark, docs, SF)
         out = docs.collect()
         assert [r.doc_id for r in sorted(out, key=lambda r: r.doc_id)] == ([1, 5] if data else [])
+
+
+def test_clashing_columns(spark):
+    """Columns of names that the stages use themselves stay as they are until the last stage."""
+    extra = ["_uid", "uid", "row", "lines", "places", "told", "lang_pred", "score", "accepted", "n_lines", "n_removed", "component_id", "item_id", "distance"]
+    rows = [(i, f"the cat number {i} and the dog went home to see the other {i} cats " * 3, "en", "s", 5, *range(len(extra))) for i in range(4)]
+    docs = spark.createDataFrame(rows, f"{COLUMNS}, {', '.join(f'{c} long' for c in extra)}")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == extra
+    assert all(list(r)[5:] == list(range(len(extra))) for r in docs.collect()) and docs.count() == 4
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 4
