@@ -1,6 +1,6 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, components.
 
-Unit vectors are assigned to the nearest of some centres, fitted on a bounded sample (``SAMPLE`` rows). A vector is also a guest of
+Unit vectors are assigned to the nearest of some centres, fitted for each length on a bounded sample (``SAMPLE`` rows). A vector is also a guest of
 each lower-numbered cell whose border with its own is within the threshold's angle: if x and y are within an angle a and
 lie in different cells, y's distance to the border plane is at most sin(a). So each linked pair meets in
 the smaller of its two cells, and recall is 1 whatever the centres. Cells are cut into blocks of ``ROWS`` vectors, and block pairs are
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import Scratch
 from lectern.llm.components import components
 
-SAMPLE = 20_000
-PER_CELL = 4_000
-MAX_CELLS = 512
+#: Rows a length's centres are fitted on at most, vectors a cell, least and most cells; beyond the most, cells grow and are cut into more blocks.
+SAMPLE, PER_CELL, LEAST_CELLS, MAX_CELLS = 20_000, 4_000, 8, 4_096
+#: Lengths that get centres of their own, the commonest; vectors of any others are in one cell a length, in blocks as well.
+MAX_DIMS = 16
 ROWS = 1_024
 _ROUNDS = 8
 
@@ -34,17 +35,24 @@ _ROUNDS = 8
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the unit vector's bytes and its dimension; null where the vector can't be compared."""
     for batch in batches:
-        out, dims = [], []
-        for label, v in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-            unit = None
-            if v and label is not None and None not in v:
-                x = np.asarray(v, np.float64)
-                peak = np.abs(x).max()
-                if np.isfinite(peak) and peak > 0:
-                    x = x / peak
-                    unit = (x / math.sqrt(float(x @ x))).tobytes()
-            out.append(unit)
-            dims.append(len(v) if unit else None)
+        column = batch.column("embedding")
+        flat = column.flatten()
+        bad = flat.is_null().to_numpy(zero_copy_only=False)
+        values = np.where(bad, np.nan, flat.fill_null(0.0).to_numpy(zero_copy_only=False))
+        sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        named = batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+        start = np.cumsum(sizes) - sizes
+        out: list[bytes | None] = [None] * batch.num_rows
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero((sizes == dim) & named)
+            x = values[start[rows][:, None] + np.arange(dim)]
+            peak = np.abs(x).max(axis=1, initial=0)
+            good = np.isfinite(x).all(axis=1) & (peak > 0)
+            x = x[good] / peak[good][:, None]
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            for i, unit in zip(rows[good].tolist(), x):
+                out[i] = unit.tobytes()
+        dims = [len(u) // 8 if u else None for u in out]
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "label", "dim", "unit"])
 
 
@@ -61,42 +69,47 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = _ROUNDS, seed: int = 1
     return np.unique(centres, axis=0)
 
 
-def fit(units: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """(dimension, centres) from at most ``SAMPLE`` vectors of the dimension that most have."""
-    top = units.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if top is None:
-        return 0, np.zeros((0, 0))
-    share = min(1.0, 1.2 * SAMPLE / top["count"])
-    rows = units.where(F.col("dim") == top.dim).where(F.pmod(F.xxhash64("unit"), F.lit(1_000_003)) < share * 1_000_003).select("unit").limit(SAMPLE).collect()
-    x = np.stack([np.frombuffer(r.unit) for r in rows]) if rows else np.zeros((1, top.dim))
-    k = max(1, min(MAX_CELLS, n // PER_CELL, len(x)))
-    return top.dim, spherical_kmeans(x, k)
+def cells_for(n: int, sampled: int) -> int:
+    """Cells for n vectors: in proportion to n between the least and the most, and at least four sampled vectors each."""
+    return max(1, min(max(LEAST_CELLS, n // PER_CELL), MAX_CELLS, sampled // 4))
 
 
-def _place(dim: int, centres: np.ndarray, threshold: float):
+def fit(units: DataFrame) -> dict[int, np.ndarray]:
+    """Centres by length, each from at most ``SAMPLE`` vectors picked by their hash."""
+    found = {}
+    for r in units.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MAX_DIMS).collect():
+        share = min(1.0, 1.2 * SAMPLE / r["count"])
+        of_dim = units.where(F.col("dim") == r.dim).where(F.pmod(F.xxhash64("unit"), F.lit(1_000_003)) < share * 1_000_003)
+        rows = of_dim.select("unit").limit(SAMPLE).collect()
+        if rows:
+            x = np.stack([np.frombuffer(v.unit) for v in rows])
+            found[r.dim] = spherical_kmeans(x, cells_for(r["count"], len(x)))
+    return found
+
+
+def _place(by_dim: dict[int, np.ndarray], threshold: float):
     sine = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
-    gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = {d: np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T))) + 1e-7 for d, c in by_dim.items()}
         for batch in batches:
-            units, dims = batch.column("unit").to_pylist(), batch.column("dim").to_pylist()
-            rows, cells, homes = [], [], []
-            own = [i for i, d in enumerate(dims) if d == dim]
-            for a in range(0, len(own), 2048):
-                part = own[a : a + 2048]
-                near = np.stack([np.frombuffer(units[i]) for i in part]) @ centres.T
-                home = np.argmax(near, axis=1)
-                margin = near[np.arange(len(part)), home][:, None] - near
-                # a pair meets in the smaller of its cells, so no vector is a guest of a cell above its own
-                i, c = np.nonzero((margin <= sine * gaps[home]) & (np.arange(len(centres))[None, :] <= home[:, None]))
-                rows += [part[k] for k in i.tolist()]
-                cells += c.tolist()
-                homes += home[i].tolist()
-            for i, d in enumerate(dims):
-                if d != dim:
-                    rows, cells, homes = [*rows, i], [*cells, 0], [*homes, 0]
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32()), pa.array(homes, pa.int32())], names=[*batch.schema.names, "cell", "home"])
+            units, dims = batch.column("unit").to_pylist(), batch.column("dim").to_numpy()
+            rest = np.flatnonzero(~np.isin(dims, list(by_dim)))
+            rows, cells, homes = [rest], [np.zeros(rest.size, np.int64)], [np.zeros(rest.size, np.int64)]
+            for dim, centres in by_dim.items():
+                own = np.flatnonzero(dims == dim)
+                for a in range(0, own.size, 512):
+                    part = own[a : a + 512]
+                    near = np.stack([np.frombuffer(units[i]) for i in part.tolist()]) @ centres.T
+                    home = np.argmax(near, axis=1)
+                    margin = near[np.arange(part.size), home][:, None] - near
+                    # a pair meets in the smaller of its cells, so no vector is a guest of a cell above its own
+                    i, c = np.nonzero((margin <= sine * gaps[dim][home]) & (np.arange(len(centres))[None, :] <= home[:, None]))
+                    rows.append(part[i])
+                    cells.append(c)
+                    homes.append(home[i])
+            taken = batch.take(pa.array(np.concatenate(rows), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(cells), pa.int32()), pa.array(np.concatenate(homes), pa.int32())], names=[*batch.schema.names, "cell", "home"])
 
     return run
 
@@ -139,8 +152,7 @@ def dedup(df: DataFrame, scratch: Scratch, threshold: float = 0.98) -> DataFrame
     rows = scratch.save(rows, "rows")
     same = rows.where("unit IS NOT NULL").groupBy("label", "dim", "unit").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies"))
     units = scratch.save(same, "units")
-    dim, centres = fit(units, units.count())
-    placed = scratch.save(units.mapInArrow(_place(dim, centres, threshold), "label string, dim int, unit binary, uid bigint, copies bigint, cell int, home int"), "placed")
+    placed = scratch.save(units.mapInArrow(_place(fit(units), threshold), "label string, dim int, unit binary, uid bigint, copies bigint, cell int, home int"), "placed")
     sizes = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("blocks"))
     cut = placed.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})

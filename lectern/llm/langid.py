@@ -30,6 +30,7 @@ LEVEL = 6
 #: More languages than this are an error: the dictionaries are broadcast.
 MAX_LANGUAGES = 1_000
 MIN_MARGIN = 0.002
+_SHARES = 256
 
 
 @dataclass
@@ -51,7 +52,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", pieces: int
         return Model({}, {})
     hashed = rows.withColumn("h", F.xxhash64("t"))
     # copies go before the ranks, so that a language of many rows and few texts keeps all of those
-    ranked = hashed.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    # the smallest hashes of each share of a language's texts first, so that no task gets all texts of one language
+    shares = hashed.select("l", "h", F.pmod("h", F.lit(_SHARES)).alias("s")).distinct()
+    first = shares.withColumn("n", F.row_number().over(Window.partitionBy("l", "s").orderBy("h"))).where(F.col("n") <= pieces)
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h")))
     chosen = ranked.where(F.col("n") <= pieces).select("l", "h")
     place = F.pmod(F.xxhash64("h", F.lit("place")), F.greatest(F.lit(1), F.length("t") - piece_chars + 1)).cast("int") + 1
     first = hashed.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring(F.col("t"), place, F.lit(piece_chars))).alias("piece"))

@@ -37,9 +37,9 @@ def later_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with the text cut, ``n_lines`` and ``n_removed``; columns of these two names in ``df`` are replaced, any others stay."""
     # a row's columns travel as one struct, so that none can clash with those made here
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("id"), F.split(F.col(text), "\n", -1).alias("lines"))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("id"))
     places = later_windows(df, doc_id, text, width).withColumnRenamed("_id", "of")
-    joined = rows.join(places, rows["id"].eqNullSafe(places["of"]), "left")
+    joined = rows.join(places, rows["id"].eqNullSafe(places["of"]), "left").withColumn("lines", F.split(F.col("row")[text], "\n", -1))
     # merged positions: line i goes if a later window starts at i, i-1 or i-2
     covered = joined.select("row", "lines", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1))))).alias("covered"))
     # lines and covered positions in one sorted array: a line goes if its own position stands before it

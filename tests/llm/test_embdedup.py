@@ -55,6 +55,25 @@ def test_brute_force(spark, monkeypatch, per_cell):
     assert run(spark, rows) == brute(rows)
 
 
+def test_several_cells_at_the_tested_sizes():
+    assert embdedup.cells_for(500, 500) == 8 and embdedup.cells_for(2_000, 2_000) == 8 and embdedup.cells_for(51_000, 20_000) == 12
+    assert embdedup.cells_for(3, 3) == 1 and embdedup.cells_for(10**9, 20_000) == embdedup.MAX_CELLS
+
+
+def test_several_lengths(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    rows = []
+    for dim, n in ((5, 80), (9, 60), (3, 40)):
+        base = rng.normal(size=(8, dim))
+        rows += [(len(rows) + i, [float(np.float32(x)) for x in base[i % 8] + rng.normal(size=dim) * 0.05], int(i % 2)) for i in range(n)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_lengths_beyond_the_commonest(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "MAX_DIMS", 1)
+    test_several_lengths(spark)
+
+
 def test_given_table(spark):
     rows = duckdb.sql("SELECT vec_id, embedding, label FROM '/root/testdata/sf0.01/embeddings.parquet'").fetchall()
     assert run(spark, rows) == brute(rows)
