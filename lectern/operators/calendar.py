@@ -75,3 +75,20 @@ def is_issue_id(issue: Column) -> Column:
 def daily_pick(day: Column, n: int) -> Column:
     """Days since 1970-01-01 modulo n."""
     return F.pmod(F.datediff(day, F.lit("1970-01-01").cast("date")), F.lit(n))
+
+
+def is_closed(day: Column, lo: str | None = None, hi: str | None = None, years_missing: list[int] | None = None, days_missing: list[str] | None = None, ranges: list[tuple[str, str]] | None = None, years: list[int] | None = None, year_range: tuple[int, int] | None = None, year_out: int | None = None) -> Column:
+    """Whether a publication has nothing on a day (YYYYMMDD): each rule that is given may close it, ends of ranges included.
+
+    The lists are a publication's own settings; long ones of other data go through ``outside_ranges`` and joins.
+    """
+    date, year = day.cast("string"), F.substring(day.cast("string"), 1, 4).cast("int")
+    rules = [
+        lo is not None and date < lo, hi is not None and date > hi, bool(years_missing) and year.isin(years_missing or []), bool(days_missing) and date.isin(days_missing or []),
+        *[date.between(a, b) for a, b in ranges or []], years is not None and ~year.isin(years or []), year_range is not None and ~year.between(*(year_range or (0, 0))), year_out is not None and year == year_out,
+    ]
+    closed = F.lit(False)
+    for rule in rules:
+        if rule is not False:
+            closed = closed | rule
+    return closed

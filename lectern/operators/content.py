@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,11 @@ def carry_forward(rows: DataFrame, group: str, order: str, *targets: str) -> Dat
 
 
 def parents(nodes: DataFrame, group: str, order: str, level: str) -> DataFrame:
-    """``parent``: the order of the nearest row before of a smaller level; null at the root.
+    """``parent``: the order of the nearest row before of a smaller level, if that is the level above; else null, as at the root.
 
-    A stack is folded over each group's rows: what a shallower node closes can't be a parent any more.
+    A level under 1 or null is 1. A stack is folded over each group's rows: what a shallower node closes can't be a parent any more.
     """
+    nodes = nodes.withColumn(level, F.greatest(F.lit(1), F.coalesce(F.col(level).cast("int"), F.lit(1))))
     rest = [c for c in nodes.columns if c != group]
     held = nodes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(level).alias("_l"), *rest))).alias("_ns"))
     kind = f"struct<stack: array<struct<o: bigint, l: int>>, out: array<bigint>>"  # noqa: F541
@@ -47,7 +50,7 @@ def parents(nodes: DataFrame, group: str, order: str, level: str) -> DataFrame:
 
     def step(acc, n):
         stack = F.filter(acc["stack"], lambda s: s["l"] < n["_l"])
-        top = F.when(F.size(stack) > 0, F.element_at(stack, -1)["o"])
+        top = F.when(F.try_element_at(stack, F.lit(-1))["l"] == n["_l"] - 1, F.try_element_at(stack, F.lit(-1))["o"])
         grown = F.concat(stack, F.array(F.struct(n["_o"].cast("bigint").alias("o"), n["_l"].cast("int").alias("l"))))
         return F.struct(grown.alias("stack"), F.concat(acc["out"], F.array(top)).alias("out"))
 
@@ -111,54 +114,69 @@ def integrity_errors(*checks: tuple[str, DataFrame, DataFrame, str, str]) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
-#: Marks after which a chunk may end.
+#: Marks after which a chunk may end, and the white space that is trimmed at its ends.
 STOPS = "。！？\n"
+SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def chunk_spans(text: str, size: int, overlap: int, keep: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of each chunk of a text longer than ``size``."""
+    a, n = 0, len(text)
+    while True:
+        b = min(n, a + size)
+        if b < n:
+            # a stop counts up to the place behind the chunk, and only beyond ``keep`` of the size
+            low = a + int(size * keep) + 1
+            stop = max(text.rfind(mark, low, b + 1) for mark in STOPS)
+            b = stop + 1 if stop >= 0 else b
+        yield a, b
+        if b >= n:
+            return
+        a = b - overlap
 
 
 def chunks(df: DataFrame, text: str, size: int = 1500, overlap: int = 150, keep: float = 0.55) -> DataFrame:
     """Each text in chunks of about ``size`` characters with ``overlap``: (…, chunk, pos, chunk_text), blank ones left out.
 
-    A chunk ends behind the last stop mark at most at ``size`` (which counts) if that is beyond ``keep`` of the size. Lengths are
-    code points. The places are a fold over the text's length, the cuts substrings of it.
+    A text of at most ``size`` is one chunk as it is. A longer one is cut behind the last stop mark at most at ``size`` (which counts) if
+    that is beyond ``keep`` of the size, and its chunks are trimmed. Chunks are numbered from 0 once blank ones are out. Lengths are code points.
+    Each text is gone over once, whatever its length.
     """
     if not 0 <= overlap < size * keep:
         raise ValueError("the overlap must be less than the least chunk")
-    n = F.length(text)
-    steps = F.sequence(F.lit(0), F.ceil(n / (size * keep - overlap)).cast("int"))
-    kind = "array<struct<a: int, b: int>>"
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("chunk_text", pa.string())]))
+
+    def of(value: str | None) -> list[dict]:
+        if not value or len(value) <= size:
+            return [{"pos": 0, "chunk_text": value}] if value else []
+        cut = ((a, value[a:b].strip(SPACE)) for a, b in chunk_spans(value, size, overlap, keep))
+        return [{"pos": a, "chunk_text": t} for a, t in cut if t]
 
-    def step(acc, _):
-        a = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1)["b"] - overlap)
-        done = (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= n)
-        piece = F.substring(F.col(text), a + 1, F.lit(size + 1))
-        back = F.regexp_instr(F.reverse(piece), F.lit(f"[{STOPS}]"))
-        last = F.when(back > 0, F.length(piece) - back + 1).otherwise(0)
-        b = F.when(a + size >= n, n).when(last > size * keep, a + last).otherwise(a + size)
-        return F.when(done, acc).otherwise(F.concat(acc, F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))))
+    @F.arrow_udf("array<struct<pos: int, chunk_text: string>>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pa.array([of(t) for t in texts.to_pylist()], kind)
 
-    cut = F.aggregate(steps, F.expr(f"CAST(array() AS {kind})"), step)
-    placed = df.where(n > 0).select("*", F.posexplode(cut).alias("chunk", "_c"))
-    told = placed.select(*df.columns, "chunk", F.col("_c.a").alias("pos"), F.trim(F.substring(F.col(text), F.col("_c.a") + 1, F.col("_c.b") - F.col("_c.a"))).alias("chunk_text"))
-    return told.where("chunk_text <> ''")
+    return df.select("*", F.posexplode(pieces(F.col(text))).alias("chunk", "_c")).select(*df.columns, "chunk", "_c.pos", "_c.chunk_text")
 
 
-def flatten_tree(nodes: DataFrame, item: str, most: int = 64) -> DataFrame:
-    """nodes(item, node_id, parent_id, ord, …) with ``depth`` and ``path`` for pre-order; one join a level, ``most`` levels at most.
+def flatten_tree(nodes: DataFrame, item: str) -> DataFrame:
+    """nodes(item, node_id, parent_id, ord, …) with ``depth`` and ``path`` for pre-order.
 
-    A node whose parent is not there is a root.
+    A node whose parent is not there is a root. Paths double: each round joins a node's path to that of the highest node it has come to,
+    so a tree of d levels takes about log2(d) rounds. Nodes that lead to themselves are an error.
     """
-    named = nodes.select(item, F.col("node_id").alias("_p")).withColumn("_has", F.lit(True))
-    roots = nodes.join(named, [F.col("parent_id") == F.col("_p"), nodes[item] == named[item]], "left_anti")
-    level = roots.withColumns({"depth": F.lit(0), "path": F.array(F.col("ord"))})
-    out, depth = level, 0
-    while depth < most:
-        depth += 1
-        above = level.select(F.col(item), F.col("node_id").alias("parent_id"), F.col("path").alias("_path"))
-        level = nodes.join(above, [item, "parent_id"]).withColumns({"depth": F.lit(depth), "path": F.concat("_path", F.array("ord"))}).select(*out.columns)
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    ids = nodes.select(item, F.col("node_id").alias("parent_id"), F.col("node_id").alias("up")).distinct()
+    state = nodes.select(item, "node_id", "parent_id", F.array("ord").alias("path")).join(ids, [item, "parent_id"], "left").select(item, "node_id", "up", "path").persist()
+    most, rounds = state.count(), 0
+    while not state.where("up IS NOT NULL").isEmpty():
+        if 2**rounds > most:
+            raise ValueError("some nodes lead to themselves")
+        above = state.select(F.col(item), F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        before, rounds = state, rounds + 1
+        state = state.join(above, [item, "up"], "left").select(item, "node_id", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")).persist()
+        state.count()
+        before.unpersist()
+    return nodes.join(state.select(item, "node_id", (F.size("path") - 1).alias("depth"), "path"), [item, "node_id"]).select(*nodes.columns, "depth", "path")
 
 
 def prune_tree(flat: DataFrame, targets: DataFrame, item: str) -> DataFrame:

@@ -77,7 +77,7 @@ def register(r: Registry) -> None:
     @r.query(
         "missing_days",
         """
-        WITH h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE month(o_orderdate) <> 5 AND year(o_orderdate) <> 1997 AND o_orderkey % 9 = 0),
+        WITH h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
         e AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
         y AS (SELECT DISTINCT year(day) AS y FROM h), m AS (SELECT DISTINCT year(day) AS y, date_trunc('month', day) AS m FROM h)
         SELECT 'year' AS grain, CAST(y AS VARCHAR) AS value FROM (SELECT DISTINCT year(day) AS y FROM e) WHERE y NOT IN (SELECT y FROM y)
@@ -86,8 +86,7 @@ def register(r: Registry) -> None:
         """,
     )
     def missing_days(spark, sf_dir):
-        o = table(spark, sf_dir, "orders").where("month(o_orderdate) <> 5 AND year(o_orderdate) <> 1997 AND o_orderkey % 9 = 0")
-        return calendar.missing(o, "o_orderdate", "1994-01-01", "2001-12-31")
+        return calendar.missing(table(spark, sf_dir, "orders"), "o_orderdate", "1994-01-01", "2001-12-31")
 
     @r.query(
         "range_blackout",
@@ -156,14 +155,13 @@ def register(r: Registry) -> None:
     @r.query(
         "merge_delivery",
         """
-        WITH l AS (SELECT c_custkey AS id, c_custkey % 7 AS rev, c_name AS title FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT c_custkey AS id, c_custkey % 5 AS rev, lower(c_name) AS title FROM customer WHERE c_custkey % 2 = 0)
+        WITH l AS (SELECT c_custkey AS id, c_custkey % 7 AS rev, c_name AS title FROM customer), r AS (SELECT p_partkey AS id, p_partkey % 5 AS rev, p_name AS title FROM part)
         SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NOT NULL AND r.id IS NOT NULL THEN greatest(l.rev, r.rev) + 1 ELSE coalesce(l.rev, r.rev) END AS rev, coalesce(l.title, r.title) AS title FROM l FULL JOIN r ON l.id = r.id
         """,
     )
     def merge_delivery(spark, sf_dir):
-        c = table(spark, sf_dir, "customer")
-        side = lambda m, t: c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % m).alias("rev"), t.alias("title"))
-        return content.merge_delivery(side(7, F.col("c_name")).where("id % 3 <> 0"), side(5, F.lower("c_name")).where("id % 2 = 0"), "id", "rev")
+        side = lambda t, key, m, title: table(spark, sf_dir, t).select(F.col(key).alias("id"), (F.col(key) % m).alias("rev"), F.col(title).alias("title"))
+        return content.merge_delivery(side("customer", "c_custkey", 7, "c_name"), side("part", "p_partkey", 5, "p_name"), "id", "rev")
 
     @r.query(
         "locf_targets",
@@ -176,8 +174,9 @@ def register(r: Registry) -> None:
     @r.query(
         "nearest_ancestors",
         """
-        WITH n AS (SELECT user_id, event_id AS o, event_id % 4 AS l FROM events)
-        SELECT user_id, o AS event_id, (SELECT max(p.o) FROM n p WHERE p.user_id = n.user_id AND p.o < n.o AND p.l < n.l) AS parent FROM n
+        WITH n AS (SELECT user_id, event_id AS o, greatest(1, event_id % 4) AS l FROM events),
+        q AS (SELECT *, (SELECT max(p.o) FROM n p WHERE p.user_id = n.user_id AND p.o < n.o AND p.l < n.l) AS near FROM n)
+        SELECT q.user_id, q.o AS event_id, CASE WHEN m.l = q.l - 1 THEN q.near END AS parent FROM q LEFT JOIN n m ON m.o = q.near
         """,
     )
     def nearest_ancestors(spark, sf_dir):
@@ -220,40 +219,44 @@ def register(r: Registry) -> None:
     @r.query(
         "completeness",
         """
-        WITH t AS (SELECT DISTINCT l_orderkey % 500 AS item, l_partkey % 20 AS ch FROM lineitem WHERE l_linenumber = 1), r AS (SELECT l_orderkey % 500 AS item, l_partkey % 23 AS ch, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2),
+        WITH t AS (SELECT DISTINCT l_orderkey % 500 AS item, l_partkey % 20 AS ch FROM lineitem), r AS (SELECT o_orderkey % 500 AS item, o_custkey % 23 AS ch, count(*) AS n FROM orders GROUP BY 1, 2),
         b AS (SELECT coalesce(t.item, r.item) AS item, t.item IS NOT NULL AS w, coalesce(n, 0) AS n FROM t FULL JOIN r ON t.item = r.item AND t.ch = r.ch)
         SELECT item, count(*) FILTER (w) AS expected, count(*) FILTER (w AND n > 0) AS present, count(*) FILTER (w AND n = 0) AS missing, CAST(coalesce(sum(n) FILTER (NOT w), 0) AS BIGINT) AS unmatched,
                CAST(coalesce(sum(n - 1) FILTER (w AND n > 1), 0) AS BIGINT) AS duplicate, CASE WHEN count(*) FILTER (w) = 0 THEN 1.0::DOUBLE ELSE count(*) FILTER (w AND n > 0) / count(*) FILTER (w) END AS coverage FROM b GROUP BY item
         """,
     )
     def completeness(spark, sf_dir):
-        li = table(spark, sf_dir, "lineitem").withColumn("item", F.col("l_orderkey") % 500)
-        return content.completeness(li.where("l_linenumber = 1").select("item", (F.col("l_partkey") % 20).alias("ch")), li.where("l_linenumber = 2").select("item", (F.col("l_partkey") % 23).alias("ch")), "item", "ch")
+        of = lambda t, item, ch, m: table(spark, sf_dir, t).select((F.col(item) % 500).alias("item"), (F.col(ch) % m).alias("ch"))
+        return content.completeness(of("lineitem", "l_orderkey", "l_partkey", 20), of("orders", "o_orderkey", "o_custkey", 23), "item", "ch")
 
     @r.query(
         "integrity_errors",
         """
-        SELECT 'label_without_document' AS code, CAST(l.doc_id AS VARCHAR) AS object FROM labels l WHERE l.doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.doc_id % 3 <> 0)
-        UNION ALL SELECT 'order_without_customer', CAST(o_custkey AS VARCHAR) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 11 <> 0)
+        SELECT 'label_without_document' AS code, CAST(l.doc_id AS VARCHAR) AS object FROM labels l WHERE l.doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
+        UNION ALL SELECT 'customer_without_supplier', CAST(o_custkey AS VARCHAR) FROM orders WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)
         """,
     )
     def integrity_errors(spark, sf_dir):
         t = lambda n: table(spark, sf_dir, n)
         return content.integrity_errors(
-            ("label_without_document", t("labels"), t("documents").where("doc_id % 3 <> 0"), "doc_id", "doc_id"), ("order_without_customer", t("orders"), t("customer").where("c_custkey % 11 <> 0"), "o_custkey", "c_custkey")
+            ("label_without_document", t("labels"), t("documents"), "doc_id", "doc_id"), ("customer_without_supplier", t("orders"), t("supplier"), "o_custkey", "s_suppkey")
         )
 
     @r.query(
         "chunk_documents",
         """
         WITH RECURSIVE c AS (
-          SELECT doc_id, text, length(text) AS n, 0 AS chunk, 0 AS a, NULL::BIGINT AS b FROM documents WHERE length(text) > 0
+          SELECT doc_id, text, length(text) AS n, 0 AS chunk, 0 AS a, NULL::BIGINT AS b FROM documents WHERE length(text) > 1500
           UNION ALL
           SELECT doc_id, text, n, chunk + 1, CASE WHEN chunk = 0 THEN 0 ELSE CAST(b - 150 AS INT) END,
-            (SELECT CASE WHEN s + 1500 >= n THEN n WHEN k > 825 THEN s + k ELSE s + 1500 END FROM (SELECT s, length(regexp_replace(substr(text, s + 1, 1501), '(?s)[^。！？\n]*$', '')) AS k
+            (SELECT CASE WHEN s + 1500 >= n THEN n WHEN k > 826 THEN s + k ELSE s + 1500 END FROM (SELECT s, length(regexp_replace(substr(text, s + 1, 1501), '(?s)[^。！？\n]*$', '')) AS k
               FROM (SELECT CASE WHEN chunk = 0 THEN 0 ELSE CAST(b - 150 AS INT) END AS s)))
-          FROM c WHERE chunk = 0 OR b < n)
-        SELECT doc_id, chunk - 1 AS chunk, a AS pos, md5(trim(substr(text, a + 1, CAST(b - a AS INT)), ' ')) AS digest FROM c WHERE chunk > 0 AND trim(substr(text, a + 1, CAST(b - a AS INT)), ' ') <> ''
+          FROM c WHERE chunk = 0 OR b < n),
+        space AS (SELECT string_agg(chr(x), '') AS chars FROM (SELECT unnest([9, 10, 11, 12, 13, 32, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288, 65279]) AS x)),
+        cut AS (SELECT doc_id, chunk, a, trim(substr(text, a + 1, CAST(b - a AS INT)), chars) AS t FROM c, space WHERE chunk > 0)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS INT) AS chunk, a AS pos, md5(t) AS digest FROM cut WHERE t <> ''
+        UNION ALL
+        SELECT doc_id, 0, 0, md5(text) FROM documents WHERE length(text) BETWEEN 1 AND 1500
         """,
     )
     def chunk_documents(spark, sf_dir):

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import codecs, dates, hashing, markup, text
+from lectern.operators import calendar
 from lectern.registry import Registry, table
 
 
+#: Entities that the pages hold; the last is that of & itself.
+STRIP_TAGS = r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
+       '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages
+"""
+
+
 def register(r: Registry) -> None:
     @r.query("url_sha1", "SELECT page_id, sha1(url) AS id, md5(url) AS m, sha256(url) AS s FROM pages")
     def url_sha1(spark, sf_dir):
         return table(spark, sf_dir, "pages").select("page_id", F.sha1("url").alias("id"), F.md5("url").alias("m"), F.sha2("url", 256).alias("s"))
 
-    @r.query("strip_tags_plain", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages WHERE NOT contains(html, '&')")
+    @r.query("strip_tags_plain", STRIP_TAGS)
     def strip_tags_plain(spark, sf_dir):
-        return table(spark, sf_dir, "pages").where(~F.contains("html", F.lit("&"))).select("page_id", text.strip_tags(F.col("html")).alias("plain"))
+        return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
     @r.query(
         "escape_text",
@@ -58,10 +66,40 @@ def register(r: Registry) -> None:
     def reading_minutes(spark, sf_dir):
         return table(spark, sf_dir, "documents").select("doc_id", text.reading_minutes(F.col("text")).alias("minutes"))
 
-    @r.query("fuzzy_titles", "SELECT p_partkey, strpos(lower(p_name), 'an') - 1 + (length(p_name) - 2) / 100 AS score FROM part WHERE contains(lower(p_name), 'an')")
+    @r.query(
+        "fuzzy_titles",
+        """
+        WITH p AS (SELECT p_partkey, lower(p_name) AS t, strpos(lower(p_name), 'a') AS a FROM part),
+        q AS (SELECT *, strpos(substr(t, a + 1), 'n') AS b FROM p)
+        SELECT p_partkey, CASE WHEN contains(t, 'an') THEN strpos(t, 'an') - 1 + (length(t) - 2) / 100 WHEN a > 0 AND b > 0 THEN 100 + b - 1 + (length(t) - 2) / 100 END AS score FROM q
+        """,
+    )
     def fuzzy_titles(spark, sf_dir):
-        p = table(spark, sf_dir, "part").select("p_partkey", "p_name", text.fuzzy_score(F.col("p_name"), "an").alias("score"))
-        return p.where(F.contains(F.lower("p_name"), F.lit("an"))).select("p_partkey", "score")
+        return table(spark, sf_dir, "part").select("p_partkey", text.fuzzy_score(F.col("p_name"), "an").alias("score"))
+
+    @r.query(
+        "source_ids",
+        """
+        WITH h AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS v FROM documents), g AS (SELECT v, md5(v) AS d, list_transform(regexp_extract_all(v, '[0-9]{1,9}'), lambda x: lower(to_hex(CAST(x AS BIGINT)))) AS parts FROM h),
+        w AS (SELECT v, d, substr(d, 1, 3) || '32' || right(d, 2) || array_to_string(list_transform(parts, lambda p: lpad(lower(to_hex(length(p))), 2, '0') || p), 'g') AS head FROM g),
+        f AS (SELECT v, CASE WHEN length(head) < 20 THEN head || substr(d, 1, 20 - length(head)) ELSE head END AS filled FROM w)
+        SELECT v AS doc, filled || substr(md5(filled), 1, 3) AS id FROM f
+        """,
+    )
+    def source_ids(spark, sf_dir):
+        d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc")).distinct()
+        return d.select("doc", codecs.source_id(F.col("doc")).alias("id"))
+
+    @r.query(
+        "closed_days",
+        """
+        SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') < '19930301' OR strftime(o_orderdate, '%Y%m%d') > '20010630' OR year(o_orderdate) IN (1996) OR strftime(o_orderdate, '%Y%m%d') IN ('19950101', '19980704')
+               OR strftime(o_orderdate, '%Y%m%d') BETWEEN '19970201' AND '19970415' OR year(o_orderdate) = 1999 AS closed FROM orders
+        """,
+    )
+    def closed_days(spark, sf_dir):
+        rules = {"lo": "19930301", "hi": "20010630", "years_missing": [1996], "days_missing": ["19950101", "19980704"], "ranges": [("19970201", "19970415")], "year_out": 1999}
+        return table(spark, sf_dir, "orders").select("o_orderkey", calendar.is_closed(F.date_format("o_orderdate", "yyyyMMdd"), **rules).alias("closed"))
 
     @r.query("document_ids", "SELECT doc_id, sha256(source || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || text) AS id FROM documents")
     def document_ids(spark, sf_dir):

@@ -25,11 +25,12 @@ def register(r: Registry) -> None:
 
     @r.query(
         "tree_prune",
-        """SELECT 'n' || n_nationkey AS node_id, n_name AS target_id FROM nation WHERE n_nationkey % 4 = 1
-           UNION ALL SELECT 'r' || r_regionkey, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey % 4 = 1)""",
+        """SELECT 'n' || n_nationkey AS node_id, n_name AS target_id FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+           UNION ALL SELECT 'r' || r_regionkey, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier))""",
     )
     def tree_prune(spark, sf_dir):
-        wanted = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 1").select(F.lit("i").alias("item"), F.col("n_name").alias("target_id"))
+        suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+        wanted = table(spark, sf_dir, "nation").join(suppliers, "n_nationkey", "left_semi").select(F.lit("i").alias("item"), F.col("n_name").alias("target_id"))
         return content.prune_tree(content.flatten_tree(tree(spark, sf_dir), "item"), wanted, "item").select("node_id", "target_id")
 
     @r.query("chapter_neighbours", "SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -76,13 +77,13 @@ def register(r: Registry) -> None:
     @r.query(
         "quote_anchors",
         """
-        WITH n AS (SELECT d.doc_id, substr(d.text, 11, 5) AS prefix, substr(d.text, 16, 30) AS quote, substr(d.text, 46, 5) AS suffix, CASE WHEN doc_id % 2 = 0 THEN 15 ELSE 3 END AS start_offset, d.text FROM documents d WHERE length(d.text) >= 60),
+        WITH n AS (SELECT d.doc_id, substr(d.text, 11, 5) AS prefix, substr(d.text, 16, 30) AS quote, substr(d.text, 46, 5) AS suffix, CASE WHEN doc_id % 2 = 0 THEN 15 ELSE 3 END AS start_offset, d.text FROM documents d),
         p AS (SELECT *, strpos(text, prefix || quote || suffix) AS k FROM n)
-        SELECT doc_id, CAST(CASE WHEN substr(text, start_offset + 1, 30) = quote THEN start_offset WHEN strpos(substr(text, k + 1), prefix || quote || suffix) = 0 THEN k - 1 + 5 END AS INT) AS start FROM p
+        SELECT doc_id, CAST(CASE WHEN substr(text, start_offset + 1, length(quote)) = quote THEN start_offset WHEN strpos(substr(text, k + 1), prefix || quote || suffix) = 0 THEN k - 1 + length(prefix) END AS INT) AS start FROM p
         """,
     )
     def quote_anchors(spark, sf_dir):
-        d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") >= 60)
+        d = table(spark, sf_dir, "documents").select("doc_id", "text")
         cut = lambda a, n: F.substring("text", a, n)
         notes = d.select("doc_id", cut(11, 5).alias("prefix"), cut(16, 30).alias("quote"), cut(46, 5).alias("suffix"), F.when(F.col("doc_id") % 2 == 0, 15).otherwise(3).alias("start_offset"))
         return tables.anchor(notes, d, "doc_id").select("doc_id", F.col("start").cast("int").alias("start"))

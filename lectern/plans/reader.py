@@ -70,7 +70,7 @@ def register(r: Registry) -> None:
     @r.query(
         "report_queue",
         """
-        WITH rep AS (SELECT event_id AS report_id, event_id % 300 AS comment_id, ts AS tm, event_type AS reason FROM events WHERE event_id % 3 = 0),
+        WITH rep AS (SELECT event_id AS report_id, event_id % 300 AS comment_id, ts AS tm, event_type AS reason FROM events),
         com AS (SELECT DISTINCT event_id % 300 AS comment_id, event_id % 300 % 40 AS note_id FROM events)
         SELECT rep.comment_id, com.note_id, 'title ' || com.note_id AS title, min(tm) AS first_at, count(*) AS n,
                string_agg(report_id || ':' || reason, ',' ORDER BY tm, report_id) AS reports
@@ -79,7 +79,7 @@ def register(r: Registry) -> None:
     )
     def report_queue(spark, sf_dir):
         e = table(spark, sf_dir, "events")
-        reports = e.where("event_id % 3 = 0").select(F.col("event_id").alias("report_id"), (F.col("event_id") % 300).alias("comment_id"), F.col("ts").alias("at"), F.col("event_type").alias("reason"), F.lit("pending").alias("status"))
+        reports = e.select(F.col("event_id").alias("report_id"), (F.col("event_id") % 300).alias("comment_id"), F.col("ts").alias("at"), F.col("event_type").alias("reason"), F.lit("pending").alias("status"))
         comments = e.select((F.col("event_id") % 300).alias("comment_id"), (F.col("event_id") % 300 % 40).alias("note_id"), F.lit("u").alias("user_id")).distinct()
         notes = comments.select("note_id", F.concat(F.lit("title "), F.col("note_id").cast("string")).alias("title")).distinct()
         out = reader.report_queue(reports, comments, notes)

@@ -6,6 +6,7 @@ import io
 import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -44,14 +45,14 @@ def read_epub(data: bytes) -> dict:
                     src, label = _all(p, "content"), _all(p, "text")
                     if src and label:
                         titles.setdefault(at(src[0].get("src"), posixpath.dirname(place)), " ".join("".join(label[0].itertext()).split()))
-            parts = []
+            parts, names = [], set(z.namelist())
             for ref in _all(package, "itemref"):
-                if (item := manifest.get(ref.get("idref"))) is not None and at(item.get("href")) in z.namelist():
+                if (item := manifest.get(ref.get("idref"))) is not None and at(item.get("href")) in names:
                     href = at(item.get("href"))
                     parts.append({"pos": len(parts), "href": href, "title": titles.get(href), "html": z.read(href).decode("utf-8", "replace")})
             text = lambda name: [" ".join("".join(e.itertext()).split()) for e in _all(package, name)]
             return {"title": next(iter(text("title")), None), "authors": text("creator"), "parts": parts, "error": None}
-    except (KeyError, IndexError, ValueError, zipfile.BadZipFile, ET.ParseError) as e:
+    except (KeyError, IndexError, ValueError, AttributeError, TypeError, RuntimeError, NotImplementedError, EOFError, zlib.error, zipfile.BadZipFile, ET.ParseError) as e:
         return {"title": None, "authors": [], "parts": [], "error": type(e).__name__}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
@@ -51,10 +53,16 @@ def _local(tag) -> str:
     return tag.rsplit("}", 1)[-1].lower() if isinstance(tag, str) else ""
 
 
+def _plain(markup: str) -> str | None:
+    """Text without tags, entities as characters, white space collapsed; null if nothing is left."""
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", markup)).split()) or None
+
+
 def parse_feed(body: str | None) -> list[dict]:
     """Items of an RSS, RDF or Atom text; nothing for any other text.
 
-    A field is the first child, in document order, of any of its names; a link is its href, else its text.
+    A field is the first child with text, in document order, of any of its names; the link is the first link's href, else its text. Title, summary and
+    content are plain text; summary and content are the same field, at most 500 and 20,000 characters of it.
     """
     try:
         root = ET.fromstring(body or "")
@@ -65,19 +73,18 @@ def parse_feed(body: str | None) -> list[dict]:
     wanted = "entry" if _local(root.tag) == "feed" else "item"
 
     def first(item, *tags):
-        for child in item:
-            if _local(child.tag) in tags and (text := "".join(child.itertext()).strip()):
-                return text
-        return None
+        texts = ("".join(child.itertext()).strip() for child in item if _local(child.tag) in tags)
+        return next((t for t in texts if t), None)
 
     out = []
     for item in root.iter():
-        if _local(item.tag) == wanted:
-            links = ((c.get("href") or "".join(c.itertext())).strip() for c in item if _local(c.tag) == "link")
-            out.append({
-                "title": first(item, "title"), "url": next((u for u in links if u), None), "summary": (first(item, "description", "summary") or "")[:500],
-                "content": (first(item, "encoded", "content", "description", "summary") or "")[:20_000], "published": first(item, "pubdate", "published", "updated", "date"),
-            })
+        if _local(item.tag) != wanted:
+            continue
+        link = next((c for c in item if _local(c.tag) == "link"), None)
+        url = None if link is None else link.get("href") or "".join(link.itertext()).strip() or None
+        told = _plain(first(item, "description", "summary", "content", "encoded") or "")
+        title, published = first(item, "title"), first(item, "pubdate", "date", "published", "updated")
+        out.append({"title": None if title is None else _plain(title) or "", "url": url, "summary": told and told[:500], "content": told and told[:20_000], "published": published})
     return out
 
 

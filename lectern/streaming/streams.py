@@ -40,19 +40,24 @@ def crawl_states_batch(events: DataFrame) -> DataFrame:
 
 
 def crawl_states_stream(events: DataFrame) -> DataFrame:
-    """The same as a stream: each change of a record as (url, status, attempts, seq); the row of the highest seq is the present state."""
+    """The same as a stream: each change of a record as (url, status, attempts, seq, version); the row of the highest version is the present state.
+
+    Events may come late and out of order: a record's own events are its state, and are folded anew by ``seq``. ``version`` is how many came so far.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, attempts, last = state.get if state.exists else ("pending", 0, -1)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, event in zip(rows["seq"], rows["event"], strict=True):
+        seqs, names = state.get if state.exists else ([], [])
+        rows = pd.concat(list(batches))
+        known = sorted(zip([*seqs, *map(int, rows["seq"])], [*names, *(e or "" for e in rows["event"])], strict=True))
+        status, attempts = "pending", 0
+        for _, event in known:
             if event in TRANSITIONS and (event != "restart" or status == "downloading"):
                 status = TRANSITIONS[event]
-            attempts, last = attempts + (event == "start"), int(seq)
-        state.update((status, attempts, last))
-        yield pd.DataFrame({"url": [key[0]], "status": [status], "attempts": [attempts], "seq": [last]})
+            attempts += event == "start"
+        state.update(([s for s, _ in known], [e for _, e in known]))
+        yield pd.DataFrame({"url": [key[0]], "status": [status], "attempts": [attempts], "seq": [known[-1][0]], "version": [len(known)]})
 
-    return events.groupBy("url").applyInPandasWithState(fold, "url string, status string, attempts int, seq long", "status string, attempts int, seq long", "update", "NoTimeout")
+    return events.groupBy("url").applyInPandasWithState(fold, "url string, status string, attempts int, seq long, version long", "seqs array<long>, names array<string>", "update", "NoTimeout")
 
 
 def fold_frames(frames: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import base64
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +72,63 @@ def test_markup(spark):
     a = markup.article_of(ld)
     assert (a["title"], a["authors"], a["body"]) == ("H", ["A", "B"], "Body")
     assert markup.article_of(None)["body"] == ""
+
+
+def test_masks_byte_by_byte():
+    """Both masks against the rule position by position in plain integers."""
+
+    def byte(position, seed):
+        x = (position + 0x9E3779B9) % 2**32 ^ seed
+        x = (x ^ x >> 16) * 0x7FEB352D % 2**32
+        x = (x ^ x >> 15) * 0x846CA68B % 2**32
+        return (x ^ x >> 16) & 255
+
+    data = bytes(range(256)) * 3
+    for offset in (0, 5, 2**32 - 100):
+        seed = codecs.fnv1a(b"a/b.json") ^ 0x4A4F5831
+        want = bytes(d ^ byte((offset + i) % 2**32, seed) for i, d in enumerate(data))
+        assert codecs.mask(data, "a/b.json", offset) == codecs.mask(data, "\\a\\b.json", offset) == want
+        assert codecs.page_mask(data, offset) == bytes(d ^ byte((offset + i) % 2**32, 0x4A4F4A4F) for i, d in enumerate(data))
+
+
+def test_source_ids_and_parts(spark):
+    rows = spark.createDataFrame([("36",), ("12345678901234567890",), ("b-1",), ("é",), ("",), (None,)], "v string")
+    got = [r.x for r in rows.select(codecs.source_id(F.col("v")).alias("x")).collect()]
+
+    def plain(v):
+        d = hashlib.md5(v.encode()).hexdigest()
+        digits = all(c in "0123456789" for c in v)
+        parts = [f"{int(v[i : i + 9]):x}" for i in range(0, len(v), 9)] if digits else ["".join(f"{ord(c):x}" for c in v)]
+        head = f"{d[:3]}{3 if digits else 4}2{d[-2:]}" + "g".join(f"{len(p):02x}{p}" for p in parts)
+        head += d[: max(0, 20 - len(head))]
+        return head + hashlib.md5(head.encode()).hexdigest()[:3]
+
+    assert got[0] == "19c3222022419ca14e7eef7" and got == [*map(plain, ["36", "12345678901234567890", "b-1", "é", ""]), None]
+    assert codecs.unwrapped_parts(["A" * 32 + "xSGk"]) == "Hi"
+    told = spark.createDataFrame([(["A" * 32 + "xSGk"],), ([None],), ([],)], "p array<string>").select(codecs.parts_text("p").alias("t")).collect()
+    assert [r.t for r in told] == ["Hi", None, None]
+
+
+def swapped(text):
+    """A body of parts made by the rule's own inverse: the swaps are found from the characters at the end, which they don't move, and done forwards."""
+    body = list(base64.b64encode(text.encode()).decode().rstrip("="))
+    n = len(body)
+    tail = min(4, -(-n // 10))
+    code = "".join(str(int(f"{ord(c):b}", 4)) for c in reversed(body[n - tail :]))
+    room = n - tail - 2
+    width, places, at = len(str(room)), [], 0
+    while len(places) < 10 and at + width < len(code):
+        places += [int(code[at : at + width]) % room, int(code[at + 1 : at + 1 + width]) % room]
+        at += width
+    for i in range(1, len(places), 2):
+        for k in (0, 1):
+            a, b = places[i] + k, places[i - 1] + k
+            body[a], body[b] = body[b], body[a]
+    return "x" + "".join(body)
+
+
+def test_parts_with_swaps():
+    for text in ("a text of some length that needs its swaps undone", "第一章 开始" * 30, "0123456789" * 7):
+        body = swapped(text)
+        cut = len(body) // 2
+        assert codecs.unwrapped_parts(["S" * 32 + body[:cut], "T" * 32 + body[cut:]]) == text

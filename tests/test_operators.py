@@ -105,6 +105,39 @@ def test_chunks(spark):
     assert {r.id for r in out} == {1, 4}
 
 
+def test_chunk_ends(spark):
+    """A stop counts only beyond 0.55 of the size; a text within the size stays as it is; all white space is trimmed."""
+    rows = [(1, "x" * 825 + "。" + "x" * 2000), (2, "x" * 826 + "。" + "x" * 1999), (3, " short\u3000"), (4, "y" * 1500 + "\u3000\n"), (5, "z" * 1499 + "\t" + "z" * 600), (6, " " * 4000)]
+    got = {}
+    for r in content.chunks(spark.createDataFrame(rows, "id int, t string"), "t").orderBy("id", "chunk").collect():
+        got.setdefault(r.id, []).append((r.chunk, len(r.chunk_text)))
+    assert got == {1: [(0, 1500), (1, 1476)], 2: [(0, 827), (1, 1500), (2, 799)], 3: [(0, 7)], 4: [(0, 1500), (1, 150)], 5: [(0, 1499), (1, 750)]}
+
+
+def test_parents(spark):
+    """The parent is one level above, else there is none; levels under 1 count as 1."""
+    rows = [("g", i, level) for i, level in enumerate([1, 3, 2, 3, 1, 3, 0, 2, None, 2])]
+    got = {r.o: r.parent for r in content.parents(spark.createDataFrame(rows, "g string, o long, level int"), "g", "o", "level").collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: 2, 4: None, 5: None, 6: None, 7: 6, 8: None, 9: 8}
+
+
+def test_deep_trees_and_cycles(spark):
+    deep = spark.createDataFrame([("i", f"n{k}", f"n{k - 1}" if k else None, 1) for k in range(70)], "item string, node_id string, parent_id string, ord int")
+    assert content.flatten_tree(deep, "item").agg({"depth": "max"}).first()[0] == 69
+    with pytest.raises(ValueError):
+        content.flatten_tree(spark.createDataFrame([("i", "a", "b", 1), ("i", "b", "a", 1)], "item string, node_id string, parent_id string, ord int"), "item")
+
+
+def test_closed_days(spark):
+    days = spark.createDataFrame([("19491231",), ("19500101",), ("19600615",), ("19700101",), ("20010101",), (None,)], "d string")
+    shut = lambda **rules: [r.x for r in days.select(calendar.is_closed(F.col("d"), **rules).alias("x")).collect()]
+    assert shut() == [False] * 6
+    assert shut(lo="19500101", hi="20001231")[:5] == [True, False, False, False, True]
+    assert shut(ranges=[("19600601", "19600615")], days_missing=["19700101"])[:5] == [False, False, True, True, False]
+    assert shut(years=[1950, 1960])[:5] == [True, False, False, True, True] and shut(years=[])[:5] == [True] * 5
+    assert shut(year_range=(1950, 1970), year_out=1960, years_missing=[1970])[:5] == [True, False, True, True, True]
+
+
 def test_calendar(spark):
     d = spark.createDataFrame([(dt.date(2020, 2, 28),), (dt.date(2020, 3, 1),)], "d date")
     got = {(r.grain, r.value) for r in calendar.missing(d, "d", "2019-12-31", "2020-03-02").collect()}

@@ -1,11 +1,13 @@
 import gzip
 import hashlib
+import io
 import json
+import zipfile
 
 import pytest
 
 from lectern.functions import codecs
-from lectern.sources import readers, sinks
+from lectern.sources import books, readers, sinks
 
 RSS = '<rss xmlns:c="http://purl.org/rss/1.0/modules/content/"><channel><item><title>A</title><link>http://x/a</link><pubDate>Wed, 02 Oct 2024 13:00:00 GMT</pubDate><description>d</description><c:encoded>full</c:encoded></item><item><title>no link</title></item></channel></rss>'
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>B</title><link href="http://x/b"/><updated>2024-10-02T13:00:00Z</updated></entry></feed>'
@@ -19,6 +21,33 @@ def test_feeds(spark):
     assert readers.feed_items(df, "body", untitled=True).count() == 3
 
 
+def test_feed_fields():
+    body = """<rss><channel><item><title> A &lt;b&gt;bold&lt;/b&gt;  day </title><link href="http://x/1">http://y</link><link>http://x/2</link>
+    <encoded>&lt;p&gt;Full &amp;amp; whole&lt;/p&gt;</encoded><description>&lt;i&gt;late&lt;/i&gt;</description></item>
+    <item><title>B</title><link>http://x/b</link><description> &lt;br/&gt; </description></item></channel></rss>"""
+    a, b = readers.parse_feed(body)
+    assert (a["title"], a["url"], a["summary"], a["content"]) == ("A bold day", "http://x/1", "Full & whole", "Full & whole")
+    assert (b["summary"], b["content"]) == (None, None)
+    long = readers.parse_feed(f"<feed><entry><title>C</title><link href='u'/><summary>{'x' * 30_000}</summary></entry></feed>")[0]
+    assert (len(long["summary"]), len(long["content"])) == (500, 20_000)
+
+
+def test_broken_books():
+    def book(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in ({"META-INF/container.xml": '<container><rootfile full-path="p.opf"/></container>'} | files).items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    opf = lambda item: f'<package><manifest>{item}</manifest><spine><itemref idref="a"/></spine></package>'
+    assert books.read_epub(book(**{"p.opf": opf('<item id="a"/>')}))["error"]
+    assert books.read_epub(book(**{"p.opf": opf('<item id="a" href="a.html" properties="nav"/><item id="n" properties="nav"/>')}))["error"]
+    assert books.read_epub(b"PK\x03\x04")["error"] and books.read_epub(b"")["error"]
+    good = books.read_epub(book(**{"p.opf": opf('<item id="a" href="a.html"/>'), "a.html": "<p>x</p>"}))
+    assert good["error"] is None and [p["html"] for p in good["parts"]] == ["<p>x</p>"]
+
+
 def test_json_and_repairs(spark, tmp_path):
     with gzip.open(tmp_path / "d.jsonl.gz", "wt") as f:
         f.write('{"documentId": "1", "text": "t"}\n\n{"documentId": "2"}\n')
