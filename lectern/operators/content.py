@@ -185,3 +185,37 @@ def prune_tree(flat: DataFrame, targets: DataFrame, item: str) -> DataFrame:
     marked = flat.join(kept, [item, "target_id"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     leads = marked.where("_in").select(item, F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("path")).distinct()
     return marked.join(leads, [item, "path"], "left_semi").withColumn("target_id", F.when(F.col("_in"), F.col("target_id"))).drop("_in")
+
+
+def outline(nodes: DataFrame, item: str) -> DataFrame:
+    """The nodes of an outline that one can go to: (…, parent_id, depth, path) of nodes(item, node_id, parent_id, ord, title, dest).
+
+    A node stays if it has a title and a destination of its own or below it; children of others move up to the nearest node that stays.
+    """
+    flat = flatten_tree(nodes.withColumn("title", F.trim("title")), item)
+    named = F.coalesce(F.col("title"), F.lit("")) != ""
+    prefixes = lambda least: F.transform(F.sequence(F.lit(1), F.size("path") - least), lambda k: F.slice("path", 1, k))
+    leads = flat.where(named & F.col("dest").isNotNull()).select(item, F.explode(prefixes(0)).alias("path")).distinct()
+    kept = flat.where(named).join(leads, [item, "path"], "left_semi")
+    above = kept.where(F.size("path") > 1).select(item, F.col("path").alias("_of"), F.explode(prefixes(1)).alias("path"))
+    near = above.join(kept.select(item, "path", F.col("node_id").alias("_up")), [item, "path"]).groupBy(item, "_of").agg(F.max_by("_up", F.size("path")).alias("_up"), F.count(F.lit(1)).alias("_depth"))
+    out = kept.join(near.withColumnRenamed("_of", "path"), [item, "path"], "left")
+    return out.withColumns({"parent_id": F.col("_up"), "depth": F.coalesce("_depth", F.lit(0)).cast("int")}).select(*flat.columns)
+
+
+def totals_against(report: DataFrame, **tables: DataFrame) -> DataFrame:
+    """(name, n, reported, ok) of each table against report(name, reported); a table that the report leaves out is not ok."""
+    counted = reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()])
+    return counted.join(report.select("name", "reported"), "name", "left").withColumn("ok", F.coalesce(F.col("n") == F.col("reported"), F.lit(False)))
+
+
+def size_budgets(chapters: DataFrame, item: str, size: str, budget: int = 32 << 20) -> DataFrame:
+    """(item, chapters, bytes, median_bytes, fits): each item's chapters and whether all of them fit into a budget; null sizes count as 0."""
+    value = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
+    out = chapters.groupBy(item).agg(F.count(F.lit(1)).alias("chapters"), F.sum(value).alias("bytes"), F.median(value).alias("median_bytes"))
+    return out.withColumn("fits", F.col("bytes") <= budget)
+
+
+def in_title_order(rows: DataFrame, title: str, *more: str, locale: str = "zh_Hans_CHN") -> DataFrame:
+    """Rows by title as a locale sorts it, then by ``more``."""
+    return rows.orderBy(F.collate(F.col(title), locale), *more)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import fuzzy_score, phrase_key
+
 
 def exclude(hits: DataFrame, superseded: DataFrame, key: str) -> DataFrame:
     """Hits whose key is not in ``superseded``; applied before paging so that totals stay right."""
@@ -138,6 +140,63 @@ def page(hits: DataFrame, order: list[Column], number: int, size: int, window: i
     return hits.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def hit_rows(hits: DataFrame, key: str, internal: tuple[str, ...] = (), fields: tuple[str, ...] = ("title", "content"), score: str | None = None) -> DataFrame:
+    """Hits as they are shown: internal columns gone, ``documentId`` from the key, each of ``fields`` replaced by its first highlight, no score as 0.
+
+    hits may have ``highlight``, a struct of arrays by field; fields and highlights that are not there don't matter.
+    """
+    lit_up = hits.schema["highlight"].dataType.fieldNames() if "highlight" in hits.columns else []
+    shown = []
+    for c in hits.columns:
+        if c in (*internal, key, "highlight"):
+            continue
+        value = F.col(c)
+        if c in fields and c in lit_up:
+            value = F.coalesce(F.try_element_at(F.col("highlight")[c], F.lit(1)), value)
+        shown.append((F.coalesce(value, F.lit(0.0)) if c == score else value).alias(c))
+    return hits.select(F.col(key).alias("documentId"), *shown)
+
+
+def listed(hits: DataFrame, fields: list[str]) -> DataFrame:
+    """The columns of a list of fields that hits have, in the list's order."""
+    return hits.select(*[c for c in fields if c in hits.columns])
+
+
+def overlay_page(base: DataFrame, delta: DataFrame, state: DataFrame, order: list[Column], number: int, size: int, factor: int = 5, most: int = 500) -> DataFrame:
+    """A page of both sides merged, with ``total``: the merged hits among the first fetched of each side, so an approximation.
+
+    Each side gives its first ``number * size * factor`` hits by ``order``, at most ``most``; what is merged is bounded by that.
+    """
+    if number < 1 or size < 1:
+        raise ValueError("page out of range")
+    fetch = min(max(number * size * factor, size), most)
+    merged = overlay_merge(base.orderBy(*order).limit(fetch), delta.orderBy(*order).limit(fetch), state)
+    total = merged.agg(F.count(F.lit(1)).alias("total"))
+    return merged.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(total), F.lit(True))
+
+
+def in_book(blocks: DataFrame, order: list[Column], text: str, query: str, size: int = 30) -> DataFrame:
+    """The first blocks in the book's order whose text holds the query, both normalised and lower-cased; none for a blank query."""
+    held = F.contains(phrase_key(F.col(text)), phrase_key(F.lit(query)))
+    return blocks.where(held & (phrase_key(F.lit(query)) != "")).orderBy(*order).limit(size)
+
+
+def closest_titles(books: DataFrame, title: str, query: str, tie: str, k: int = 6) -> DataFrame:
+    """The k books whose titles fit the query best, with ``score``; none for a blank query. Equal scores come by ``tie``."""
+    scored = books.withColumn("score", fuzzy_score(F.col(title), query)).where("score IS NOT NULL")
+    return scored.where(F.lit(bool(query.strip()))).orderBy("score", tie).limit(k)
+
+
+def term_totals(chapters: DataFrame, text: str, terms: list[str], most: int = 12) -> DataFrame:
+    """(term, total): occurrences of each of the first ``most`` distinct terms over all chapters; one pass, whatever the terms."""
+    kept = list(dict.fromkeys(t.strip() for t in terms if t.strip()))[:most]
+    if not kept:
+        raise ValueError("no term is given")
+    sums = chapters.agg(*[F.coalesce(F.sum(occurrences(F.col(text), t).cast("bigint")), F.lit(0)).alias(f"t{i}") for i, t in enumerate(kept)])
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("total")) for i, t in enumerate(kept)])
+    return sums.select(F.inline(pairs))
+
+
 def distinct_targets(hits: DataFrame, target: str, order: list[Column], size: int = 8) -> DataFrame:
     """Best hit per target (hits without target are all kept), first ``size`` (blank: 8, 1 to 20)."""
     return best_per_group(hits, target, order).orderBy(*order).limit(min(max(size or 8, 1), 20))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import blocks, calendar, content, crawl, feeds, reader, tables
+from lectern.operators import blocks, calendar, content, crawl, feeds, reader, search, tables
 from lectern.registry import Registry, table
 from lectern.sources import readers, sinks
 from lectern.streaming import streams
@@ -181,3 +181,79 @@ def register(r: Registry) -> None:
     def notification_fan_out(spark, sf_dir):
         reports = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("report_id"), (F.col("event_id") % 50).alias("comment_id"), F.col("user_id").alias("reporter_id"), F.lit("pending").alias("status"))
         return reader.notify(reports, spark.range(10).select(F.col("id").alias("comment_id"), F.lit("hide").alias("action")))
+
+    @r.query(
+        "hit_rows",
+        """SELECT event_id AS "documentId", CASE WHEN event_type = 'click' THEN '<mark>click</mark>' ELSE event_type END AS title, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE value END AS score FROM events""",
+    )
+    def hit_rows(spark, sf_dir):
+        e, click = table(spark, sf_dir, "events"), F.col("event_type") == "click"
+        marks = F.struct(F.when(click, F.array(F.lit("<mark>click</mark>"))).otherwise(F.array().cast("array<string>")).alias("title"))
+        hits = e.select("event_id", F.col("event_type").alias("title"), F.when(F.col("event_type") != "view", F.col("value")).alias("score"), F.col("ts").alias("@timestamp"), marks.alias("highlight"))
+        return search.hit_rows(hits, "event_id", ("@timestamp",), score="score")
+
+    @r.query(
+        "overlay_page",
+        """
+        WITH b AS (SELECT event_id, user_id AS logical_id, event_id % 3 AS version, value AS score, event_id AS seq, 1 AS side FROM events WHERE event_type <> 'click' ORDER BY value DESC, event_id LIMIT 200),
+        d AS (SELECT event_id, user_id AS logical_id, event_id % 3 AS version, value AS score, event_id AS seq, 0 AS side FROM events WHERE event_type = 'click' ORDER BY value DESC, event_id LIMIT 200),
+        m AS (SELECT *, row_number() OVER (PARTITION BY logical_id ORDER BY version DESC, score DESC, side, seq) AS n FROM (FROM b UNION ALL FROM d))
+        SELECT event_id, side, (SELECT count(*) FROM m WHERE n = 1) AS total FROM m WHERE n = 1 ORDER BY score DESC, event_id LIMIT 20 OFFSET 20
+        """,
+    )
+    def overlay_page(spark, sf_dir):
+        e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("logical_id"), (F.col("event_id") % 3).alias("version"), F.col("value").alias("score"), F.col("event_id").alias("seq"), "event_type")
+        side = lambda of: e.where(of).drop("event_type")
+        state = spark.createDataFrame([], "logical_id bigint, version bigint, deleted boolean")
+        page = search.overlay_page(side("event_type <> 'click'"), side("event_type = 'click'"), state, [F.desc("score"), F.col("event_id")], 2, 20)
+        return page.select("event_id", "side", "total")
+
+    @r.query("in_book_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 30")
+    def in_book_search(spark, sf_dir):
+        return search.in_book(table(spark, sf_dir, "documents").select("doc_id", "text"), [F.col("doc_id")], "text", " LICENSE ").select("doc_id")
+
+    @r.query("closest_titles", "SELECT p_partkey, strpos(lower(p_name), 're') - 1 + (length(p_name) - 2) / 100 AS score FROM part WHERE contains(lower(p_name), 're') ORDER BY score, p_partkey LIMIT 6")
+    def closest_titles(spark, sf_dir):
+        return search.closest_titles(table(spark, sf_dir, "part"), "p_name", "re", "p_partkey").select("p_partkey", "score")
+
+    @r.query(
+        "term_totals",
+        """
+        SELECT 'license' AS term, CAST(sum((length(text) - length(replace(text, 'license', ''))) // 7) AS BIGINT) AS total FROM documents
+        UNION ALL SELECT 'the', CAST(sum((length(text) - length(replace(text, 'the', ''))) // 3) AS BIGINT) FROM documents
+        """,
+    )
+    def term_totals(spark, sf_dir):
+        return search.term_totals(table(spark, sf_dir, "documents"), "text", ["license", " the ", "license", ""])
+
+    @r.query(
+        "size_budgets",
+        "SELECT source, count(*) AS chapters, CAST(sum(n_chars) AS BIGINT) AS bytes, median(n_chars) AS median_bytes, sum(n_chars) <= 100000 AS fits FROM documents GROUP BY source",
+    )
+    def size_budgets(spark, sf_dir):
+        return content.size_budgets(table(spark, sf_dir, "documents"), "source", "n_chars", 100_000)
+
+    @r.query(
+        "release_totals",
+        "SELECT 'regions' AS name, (SELECT count(*) FROM region) AS n, 5 AS reported, (SELECT count(*) FROM region) = 5 AS ok UNION ALL SELECT 'nations', (SELECT count(*) FROM nation), 24, false UNION ALL SELECT 'pages', (SELECT count(*) FROM pages), NULL, false",
+    )
+    def release_totals(spark, sf_dir):
+        report = spark.createDataFrame([("regions", 5), ("nations", 24)], "name string, reported int")
+        return content.totals_against(report, **{n: table(spark, sf_dir, t) for n, t in (("regions", "region"), ("nations", "nation"), ("pages", "pages"))})
+
+    @r.query(
+        "outline_nodes",
+        """SELECT 'n' || n_nationkey AS node_id, CASE WHEN n_regionkey <> 2 THEN 'r' || n_regionkey END AS parent_id, CASE WHEN n_regionkey <> 2 THEN 1 ELSE 0 END AS depth FROM nation
+           UNION ALL SELECT 'r' || r_regionkey, NULL, 0 FROM region WHERE r_regionkey <> 2 AND r_regionkey IN (SELECT n_regionkey FROM nation)""",
+    )
+    def outline_nodes(spark, sf_dir):
+        n, reg = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+        named = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+        roots = reg.select(F.lit("i").alias("item"), named("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("int").alias("ord"), F.when(F.col("r_regionkey") == 2, " ").otherwise(F.col("r_name")).alias("title"), F.lit(None).cast("string").alias("dest"))
+        leaves = n.select(F.lit("i").alias("item"), named("n", "n_nationkey").alias("node_id"), named("r", "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("title"), F.col("n_name").alias("dest"))
+        return content.outline(roots.unionByName(leaves), "item").select("node_id", "parent_id", "depth")
+
+    @r.query("book_kinds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'epub' WHEN 1 THEN 'mobi' WHEN 2 THEN 'reader-export' END AS kind FROM pages")
+    def book_kinds(spark, sf_dir):
+        names = F.array(F.lit("x/a.EPUB"), F.lit("b.azw3"), F.lit("c.v2.json"), F.lit("d.xyz"))
+        return table(spark, sf_dir, "pages").select("page_id", readers.book_kind(F.element_at(names, (F.col("page_id") % 4 + 1).cast("int"))).alias("kind"))

@@ -177,3 +177,14 @@ def asset_cache(items: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame, html: str) -> DataFrame:
     """``pages`` with how many page links a listing has and its first attached PDF."""
     return pages.withColumns({"n_pages": F.regexp_count(html, F.lit("pageLink")), "pdf": F.nullif(F.regexp_extract(html, r"""href=["']?([^"'\s>]*attachement[^"'\s>]*\.pdf)""", 1), F.lit(""))})
+
+
+#: What file names end with, and what reads them.
+BOOK_KINDS = {"epub": "epub", "mobi": "mobi", "azw": "mobi", "azw3": "mobi", "json": "reader-export", "md": "markdown", "pdf": "pdf"}
+
+
+def book_kind(path: Column) -> Column:
+    """What reads a file, by its extension in any case; null for others."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in BOOK_KINDS.items() for x in pair])
+    return F.try_element_at(kinds, ending)

@@ -184,3 +184,20 @@ def test_moderation(spark):
     assert {tuple(r) for r in new_comments.collect()} == {("c1", "hidden"), ("c2", "visible")}
     assert {r.report_id: r.status for r in new_reports.collect()} == {"r1": "resolved", "r2": "dismissed"}
     assert [(r.recipient_id, r.event_key) for r in reader.notify(reports, acts).collect()] == [("u", "report:r1:hide")]
+
+
+def test_title_order_and_outline_edges(spark):
+    titles_ = spark.createDataFrame([("中",), ("阿",), ("波",)], "t string")
+    assert [r.t for r in content.in_title_order(titles_, "t").collect()] == ["阿", "波", "中"]
+    rows = [("i", "a", None, 1, "", None), ("i", "b", "a", 1, "B", None), ("i", "c", "b", 1, " C ", "p"), ("i", "d", "a", 2, "D", None), ("i", "e", "c", 1, "", "q")]
+    nodes = spark.createDataFrame(rows, "item string, node_id string, parent_id string, ord int, title string, dest string")
+    assert {(r.node_id, r.parent_id, r.depth, r.title) for r in content.outline(nodes, "item").collect()} == {("b", None, 0, "B"), ("c", "b", 1, "C")}
+
+
+def test_hits_without_highlights(spark):
+    hits = spark.createDataFrame([("k", "t", None)], "_id string, title string, content string")
+    assert search.hit_rows(hits, "_id").columns == ["documentId", "title", "content"]
+    assert search.listed(hits, ["content", "other", "_id"]).columns == ["content", "_id"]
+    with pytest.raises(ValueError):
+        search.term_totals(hits, "title", [" "])
+    assert search.closest_titles(hits, "title", " ", "_id").count() == 0 and search.in_book(hits, [F.col("_id")], "title", " ").count() == 0
