@@ -1,7 +1,7 @@
 """What the operators share: tables in the shared folder, text columns as bytes, word spans and hashes.
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which all executors
-and the driver see; only where that is unset (tests) is a folder of our own made.
+and the driver see; only where that is unset and all runs on this machine (tests) is a folder of our own made.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

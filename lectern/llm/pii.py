@@ -2,7 +2,7 @@
 
 Rules find e-mail addresses, IP addresses, card and telephone numbers. Their matches, with long
 hexadecimal keys as a fifth kind (``secret``), are the seeds. Each identifier-like token (at least
-``MIN_DIGITS`` digits, 6 to 128 characters) is an instance, found in lexical patterns: the two lexical units before it,
+``MIN_DIGITS`` digits and ``MIN_LENGTH`` characters, however long) is an instance, found in lexical patterns: the two lexical units before it,
 with and without the unit after it. Spark scores the pattern-instance graph: a pattern's confidence for a kind is
 the summed score of its instances over their number (smoothed), an instance's score is 1 for a seed
 and else the best confidence of its patterns. After ``ROUNDS`` rounds each pattern with enough
@@ -10,6 +10,7 @@ support and confidence marks the tokens it surrounds, known before or not.
 
 Rule matches always stay; marked tokens never overlap them. Offsets are code points, ends exclusive.
 Null and empty texts give no spans. Repeated rows each give a row. The graph holds hashes, not identifiers.
+At a text's beginning the beginning itself takes the place of the units before. Identifiers of fewer digits or of several tokens are found by the rules alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from lectern.llm.common import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS = 3
-MIN_DIGITS = 4
+MIN_LENGTH, MIN_DIGITS = 6, 4
 MIN_SUPPORT = 3.0
 MIN_CONFIDENCE = 0.8
 
@@ -36,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_SECRET = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}")
+_SECRET = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}")
 _TOKEN_CHARS = frozenset(_LOCAL + "@")
 _UNITS = re.compile(r"[^\W\d_]+|[^\w\s]|\d+|_")
 
@@ -86,17 +87,15 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         s, e = m.span()
         if s < reach:
             continue
-        low = max(reach, s - 129)
-        while s > low and text[s - 1] in _TOKEN_CHARS:
+        while s > reach and text[s - 1] in _TOKEN_CHARS:
             s -= 1
-        high = min(len(text), m.end() + 129)
-        while e < high and text[e] in _TOKEN_CHARS:
+        while e < len(text) and text[e] in _TOKEN_CHARS:
             e += 1
         reach = e
         token = text[s:e].strip(".-%+@")
         s = text.index(token, s) if token else s
         e = s + len(token)
-        if not 6 <= len(token) <= 128 or sum(c.isdigit() for c in token) < MIN_DIGITS:
+        if len(token) < MIN_LENGTH or sum(c.isdigit() for c in token) < MIN_DIGITS:
             continue
         while k < len(spans) and spans[k][1] <= s:
             k += 1
@@ -104,13 +103,23 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             yield s, e
 
 
+def _before(text: str, start: int) -> list[str]:
+    """The two lexical units before a place; the text's beginning stands for those that are not there."""
+    reach = 64
+    while True:
+        low = max(0, start - reach)
+        units = _UNITS.findall(text[low:start])
+        if low == 0:
+            return ["\x02", "\x02", *units][-2:]
+        if len(units) > 2:  # the first may be cut
+            return units[-2:]
+        reach *= 4
+
+
 def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the patterns around a span; none at the very beginning of a text."""
-    before = _UNITS.findall(text[max(0, start - 64) : start])[-2:]
+    """Hashes of the patterns around a span."""
+    left = "\x1f".join(_before(text, start)).lower()
     after = _UNITS.findall(text[end : end + 32])[:1]
-    if len(before) < 2:
-        return []
-    left = "\x1f".join(before).lower()
     return [_hash(left), _hash(left + "\x1e" + "".join(after).lower())]
 
 

@@ -57,3 +57,58 @@ def test_patterns_find_unseen_identifiers(found):
 
 def test_empty_table(spark):
     assert pii.digests(spark.createDataFrame([], "doc_id long, text string"), Scratch(spark, "t")).count() == 0
+
+
+def plain_graph(edges, rounds=pii.ROUNDS):
+    """The scores of patterns and instances with dictionaries, edge by edge."""
+    pairs = {(p, i) for p, i, _ in edges}
+    seeds = {}
+    for _, i, k in edges:
+        if k is not None:
+            seeds[i] = (min(k, seeds.get(i, (k, 1.0))[0]), 1.0)
+    scores, kept = dict(seeds), {}
+    for _ in range(rounds):
+        kept = {}
+        for p in {p for p, _ in pairs}:
+            held = [i for q, i in pairs if q == p]
+            sums = {}
+            for i in held:
+                if i in scores:
+                    k, x = scores[i]
+                    sums[k] = sums.get(k, 0.0) + x
+            rated = [(x / (len(held) + 0.5), -k) for k, x in sums.items() if x >= pii.MIN_SUPPORT and x / (len(held) + 0.5) >= pii.MIN_CONFIDENCE]
+            if rated:
+                conf, k = max(rated)
+                kept[p] = (-k, conf)
+        scores = dict(seeds)
+        for i in {i for _, i in pairs} - set(seeds):
+            rated = [(kept[p][1], -kept[p][0]) for p, j in pairs if j == i and p in kept]
+            if rated:
+                conf, k = max(rated)
+                scores[i] = (-k, conf)
+    return kept
+
+
+def test_graph_against_plain_scores(spark):
+    rng, found = random.Random(3), 0
+    for size in (40, 200):
+        kind = {i: rng.choice([0] * 8 + [1] * 8 + [None]) for i in range(size)}
+        edges = set()
+        for p in range(size // 4):
+            likes = rng.choice([0, 1, 0, 1, None])
+            for i in rng.sample(range(size), rng.randrange(4, 25)):
+                if likes is None or kind[i] in (likes, None) or rng.random() < 0.02:
+                    edges.add((p, i, kind[i]))
+        df = spark.createDataFrame(sorted(edges, key=str), "pat long, inst long, k int")
+        got = {r.pat: (r.kind, round(r.conf, 9)) for r in pii.confident_patterns(df).collect()}
+        assert got == {p: (k, round(c, 9)) for p, (k, c) in plain_graph(edges).items()}
+        found += len(got)
+    assert found > 5
+
+
+def test_long_secrets_and_the_beginning():
+    key = "0a1b2c3d" * 64
+    spans = list(pii.tokens(f"key {key} end", []))
+    assert spans == [(4, 4 + len(key))] and pii._SECRET.fullmatch(key)
+    assert pii._before("call 123456", 5) == ["\x02", "call"] and pii._before("123456", 0) == ["\x02", "\x02"]
+    assert pii._before("one two three" + " " * 500 + "123456", 513) == ["two", "three"]
