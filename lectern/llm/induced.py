@@ -162,15 +162,25 @@ def _induce(key: np.ndarray, symbols: int, targets: np.ndarray, run: np.ndarray,
     return (np.concatenate(out_at) if out_at else empty, np.concatenate(out_lcp) if out_lcp else empty, np.concatenate(out_kind) if out_kind else empty.astype(bool))
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    order = np.argsort(values)
+    new = np.zeros(values.size, np.int64)
+    new[1:] = values[order[1:]] != values[order[:-1]]
+    out = np.empty(values.size, np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _in_memory(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes by doubling, with common prefixes from the ranks of each step."""
     n = text.size
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    rank = _ranks(text)
     ranks, step = [rank], 1
     while rank.max(initial=0) + 1 < n:
         pair = rank * (n + 1)
         pair[:-step] += rank[step:] + 1
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        rank = _ranks(pair)
         ranks.append(rank)
         step *= 2
         if step >= n:
@@ -219,7 +229,7 @@ def _name(text: np.ndarray, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
         name[a] = old + np.maximum.accumulate(np.where(new, np.arange(a.size), 0)) - start
         members = np.diff(np.append(np.flatnonzero(new), a.size))
         active = np.sort(a[np.repeat(members > 1, members) & (length[a] > done)])
-    return np.unique(name, return_inverse=True)[1]
+    return _ranks(name)
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, have: np.ndarray, limit: int) -> np.ndarray:
