@@ -11,6 +11,7 @@ from lectern.plans import functions as _functions  # noqa: E402
 from lectern.plans import more as _more  # noqa: E402
 from lectern.plans import reader as _reader  # noqa: E402
 from lectern.plans import search as _search  # noqa: E402
+from lectern.plans import values as _values  # noqa: E402
 
-for _module in (_search, _reader, _content, _functions, _more):
+for _module in (_search, _reader, _content, _functions, _more, _values):
     _module.register(REGISTRY)
