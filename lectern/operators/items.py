@@ -153,15 +153,25 @@ def rotate_invitations(personal: DataFrame, now: Column, days: int = 7) -> DataF
     return personal.withColumn("action", action).withColumn("expires_at", F.when(F.col("action") == "rotated", now + F.expr(f"INTERVAL {days} DAYS")).otherwise(F.col("expires_at")))
 
 
+#: Levels of headings that are told apart; deeper ones count as the last.
+LEVELS = 6
+
+
 def nth_note(notes: DataFrame, blocks: DataFrame, group: str) -> DataFrame:
     """``block`` of each note(group, heading, label): the label-th marker between the heading and the next of its level or above, else null.
 
-    blocks(group, ord, level or null, markers): a heading has a level; markers in headings don't count.
+    blocks(group, ord, level or null, markers): a heading has a level; markers in headings don't count. Markers are numbered through a
+    group, so a note asks for one number and nothing is paired with all that follows it.
     """
-    heads = blocks.where("level IS NOT NULL").select(group, F.col("ord").alias("heading"), "level")
-    ends = heads.alias("h").join(heads.select(F.col(group).alias("_g"), F.col("heading").alias("_o"), F.col("level").alias("_l")).alias("k"), (F.col(group) == F.col("_g")) & (F.col("_o") > F.col("heading")) & (F.col("_l") <= F.col("level")), "left")
-    spans = ends.groupBy(group, "heading").agg(F.min("_o").alias("end"))
-    marked = blocks.where("level IS NULL AND markers > 0").select(group, "ord", F.explode(F.sequence(F.lit(1), "markers")).alias("_m"))
-    inside = spans.join(marked, group).where((F.col("ord") > F.col("heading")) & (F.col("end").isNull() | (F.col("ord") < F.col("end"))))
-    ranked = inside.withColumn("label", F.row_number().over(Window.partitionBy(group, "heading").orderBy("ord", "_m"))).select(group, "heading", "label", F.col("ord").alias("block"))
-    return notes.join(ranked, [group, "heading", "label"], "left")
+    up = Window.partitionBy(group).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(group).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("level")))
+    own = F.when(F.col("level").isNull(), F.greatest(F.coalesce("markers", F.lit(0)), F.lit(0))).otherwise(0)
+    placed = blocks.select(group, "ord", level.alias("level"), own.alias("_m")).withColumn("_c", F.sum("_m").over(up))
+    ends = F.array(*[F.min(F.when(F.col("level") <= k, F.col("ord"))).over(after) for k in range(1, LEVELS + 1)])
+    heads = placed.withColumn("_ends", ends).where("level IS NOT NULL").select(group, F.col("ord").alias("heading"), F.element_at("_ends", F.col("level").cast("int")).alias("_end"), F.col("_c").alias("_base"))
+    marked = placed.where("_m > 0").select(group, F.col("ord").alias("block"), F.explode(F.sequence(F.col("_c") - F.col("_m") + 1, F.col("_c"))).alias("_k"))
+    asked = notes.join(heads, [group, "heading"], "left").withColumn("_k", F.when(F.col("label") >= 1, F.col("_base") + F.col("label")))
+    found = asked.join(marked, [group, "_k"], "left")
+    inside = F.col("_end").isNull() | (F.col("block") < F.col("_end"))
+    return found.select(*notes.columns, F.when(inside, F.col("block")).alias("block"))

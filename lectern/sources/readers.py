@@ -117,13 +117,13 @@ def source_list_errors(sources: DataFrame) -> DataFrame:
     return bad("version", ~F.col("version").eqNullSafe(F.lit(1))).union(bad("blank", blank)).union(bad("route", ~F.col("route").startswith("/"))).union(twice).union(none)
 
 
-def markdown_articles(spark: SparkSession, root: str, namespace: str, pattern: str) -> DataFrame:
+def markdown_articles(spark: SparkSession, root: str, namespace: str, pattern: str, glob: str = "*.md") -> DataFrame:
     """Articles of a tree of Markdown files: logical_id, path, and the named groups title, date, page, content of ``pattern``.
 
     A blank page is 0; a file that doesn't match has null fields.
     """
     names = ("title", "date", "page", "content")
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.url_decode("file"), f"^.*?{base}/", "")
     found = F.array(*[F.regexp_extract("body", pattern, i + 1) for i in range(len(names))])
