@@ -1,16 +1,17 @@
 """Personal data: fixed rules as seeds, and bootstrapped contextual extraction on top.
 
 Rules find e-mail addresses, IP addresses, card and telephone numbers. Their matches, with long
-hexadecimal keys as a fifth kind (``secret``), are the seeds. Each identifier-like token (at least
-``MIN_DIGITS`` digits and ``MIN_LENGTH`` characters, however long) is an instance, found in lexical patterns: the two lexical units before it,
-with and without the unit after it. Spark scores the pattern-instance graph: a pattern's confidence for a kind is
+hexadecimal keys as a fifth kind (``secret``), are the seeds. Instances are identifier-like spans: tokens of at least
+``MIN_DIGITS`` digits and ``MIN_LENGTH`` characters, however long; tokens around an @ with or without digits; numbers written in
+groups (``GROUP_DIGITS`` digits in all). They are found in lexical patterns: the two lexical units before,
+with and without the unit after. Spark scores the pattern-instance graph: a pattern's confidence for a kind is
 the summed score of its instances over their number (smoothed), an instance's score is 1 for a seed
 and else the best confidence of its patterns. After ``ROUNDS`` rounds each pattern with enough
 support and confidence marks the tokens it surrounds, known before or not.
 
 Rule matches always stay; marked tokens never overlap them. Offsets are code points, ends exclusive.
 Null and empty texts give no spans. Repeated rows each give a row. The graph holds hashes, not identifiers.
-At a text's beginning the beginning itself takes the place of the units before. Identifiers of fewer digits or of several tokens are found by the rules alone.
+At a text's beginning the beginning itself takes the place of the units before. Names and other identifiers without digits or @ are found by the rules alone.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from lectern.llm.common import Scratch
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS = 3
 MIN_LENGTH, MIN_DIGITS = 6, 4
+GROUP_DIGITS = range(7, 20)
 MIN_SUPPORT = 3.0
 MIN_CONFIDENCE = 0.8
 
@@ -37,7 +39,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+_AT = re.compile("@")
 _SECRET = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}")
+#: Two to five digits a group, with one or two marks between; a longer run is a token of its own.
+_GROUPED = re.compile(r"(?<![\w.@+-])\(?[0-9]{2,5}(?:\)?[ ./-][ ./(-]?[0-9]{2,5})+(?![\w@])")
 _TOKEN_CHARS = frozenset(_LOCAL + "@")
 _UNITS = re.compile(r"[^\W\d_]+|[^\w\s]|\d+|_")
 
@@ -80,11 +85,10 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens that overlap no span of ``taken``."""
-    spans, k, reach = sorted((s, e) for _, s, e in taken), 0, 0
-    for m in _DIGITS.finditer(text):
-        s, e = m.span()
+def _runs(text: str, marks: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The token around each mark, once each, without punctuation at its ends."""
+    reach = 0
+    for s, e in marks:
         if s < reach:
             continue
         while s > reach and text[s - 1] in _TOKEN_CHARS:
@@ -94,13 +98,34 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         reach = e
         token = text[s:e].strip(".-%+@")
         s = text.index(token, s) if token else s
-        e = s + len(token)
-        if len(token) < MIN_LENGTH or sum(c.isdigit() for c in token) < MIN_DIGITS:
-            continue
-        while k < len(spans) and spans[k][1] <= s:
+        yield s, s + len(token)
+
+
+def _digits(text: str, s: int, e: int) -> int:
+    return sum(c.isdigit() for c in text[s:e])
+
+
+def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like spans, in order, that overlap no span of ``taken`` nor each other; a token goes before a number in groups."""
+    found = {(s, e) for s, e in _runs(text, (m.span() for m in _DIGITS.finditer(text))) if e - s >= MIN_LENGTH and _digits(text, s, e) >= MIN_DIGITS}
+    if "@" in text:
+        found |= {(s, e) for s, e in _runs(text, (m.span() for m in _AT.finditer(text))) if e - s >= MIN_LENGTH and "@" in text[s:e]}
+    grouped = [m.span() for m in _GROUPED.finditer(text) if _digits(text, *m.span()) in GROUP_DIGITS]
+    out = _apart(sorted(found), sorted((s, e) for _, s, e in taken))
+    return sorted(out + _apart(grouped, sorted([(s, e) for _, s, e in taken] + out))) if grouped else out
+
+
+def _apart(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the sorted spans that overlap none of the sorted others nor the one kept before."""
+    out, k, last, reach = [], 0, 0, 0
+    for s, e in spans:
+        while k < len(others) and others[k][0] < e:
+            reach = max(reach, others[k][1])
             k += 1
-        if not any(a < e and s < b for a, b in spans[k : k + 8]):
-            yield s, e
+        if reach <= s and last <= s:
+            out.append((s, e))
+            last = e
+    return out
 
 
 def _before(text: str, start: int) -> list[str]:

@@ -112,3 +112,18 @@ def test_long_secrets_and_the_beginning():
     assert spans == [(4, 4 + len(key))] and pii._SECRET.fullmatch(key)
     assert pii._before("call 123456", 5) == ["\x02", "call"] and pii._before("123456", 0) == ["\x02", "\x02"]
     assert pii._before("one two three" + " " * 500 + "123456", 513) == ["two", "three"]
+
+
+def test_numbers_in_groups_and_addresses_without_a_dot(spark):
+    rows = [(i, f"w{i} please call me: +49 171 55512{i}0 ok") for i in range(6)] + [(i + 10, f"w{i} write to - u{i}@mail.example now") for i in range(6)]
+    rows += [(20, "é call me: (0171) 555 1234 ok"), (21, "call me: 2024 ok"), (22, "write to - jane.doe@localhost now"), (23, "room 555 12 34 and x@y"), (24, "call me: 0171 555 1234")]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    assert got[20] == "phone:11:26" and got[24] == "phone:9:22" and got[22] == "email:11:29"
+    assert got[21] == got[23] == ""
+
+
+def test_spans_stay_apart():
+    assert pii.tokens("ab123456@c 0171 555 1234, 12-345-678901 x", [(3, 11, 15)]) == [(0, 10), (26, 39)]
+    assert pii.tokens("a@" * 4 + " 12 34 56 78", []) == [(0, 7), (9, 20)]
+    for text in ("12 " * 100_000, "12-" * 100_000 + "a", "(12)" * 100_000, "@" * 300_000):
+        pii.tokens(text, [])
