@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import blocks, content, items, reader
+from lectern.functions import sanitise
+from lectern.operators import blocks, content, items, notes, reader
 from lectern.registry import Registry, table
 
 
@@ -280,3 +281,20 @@ def register(r: Registry) -> None:
     @r.query("ordered_distinct", "SELECT p_partkey, p_brand || ';' || p_name AS names FROM part")
     def ordered_distinct(spark, sf_dir):
         return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_distinct(F.array("p_brand", "p_name", "p_brand", "p_name")), ";").alias("names"))
+
+    @r.query(
+        "footnote_markers",
+        """SELECT l_orderkey, CAST(1000 + n AS INT) AS ord, CAST(n AS VARCHAR) AS label, CAST(n AS INT) AS marker FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem)
+           UNION ALL SELECT DISTINCT l_orderkey, 2000, '99', CAST(NULL AS INT) FROM lineitem""",
+    )
+    def footnote_markers(spark, sf_dir):
+        l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()  # noqa: E741
+        told = l.select("l_orderkey", F.col("n").cast("int").alias("ord"), F.format_string("see 〔%s〕 and (98)", "n").alias("text"))
+        given = l.select("l_orderkey", (F.col("n") + 1000).cast("int").alias("ord"), F.format_string("[%s] a note", "n").alias("text"))
+        stray = l.select("l_orderkey", F.lit(2000).alias("ord"), F.lit("[99] stray").alias("text")).distinct()
+        return notes.footnotes(told.unionByName(given).unionByName(stray), "l_orderkey", "ord", "text").select("l_orderkey", "ord", "label", "marker")
+
+    @r.query("sanitised_chapters")
+    def sanitised_chapters(spark, sf_dir):
+        s = table(spark, sf_dir, "pages").select("page_id", sanitise.sanitise(F.col("page_id").cast("string"), F.col("html")).alias("s"))
+        return s.select("page_id", "s.html", F.size("s.notes").alias("notes"), F.size("s.assets").alias("assets"))
