@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, twins
+from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, transducer, twins
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry, table
 
@@ -69,3 +69,10 @@ def pipeline(spark, sf_dir):
 @REGISTRY.query("op2_suffix_dedup", twins.SUFFIX_DEDUP)
 def op2_suffix_dedup(spark, sf_dir):
     return suffixdedup.digests(documents(spark, sf_dir), Scratch(spark, "op2"))
+
+
+@REGISTRY.query("op13_streaming_bpe")
+def op13_streaming_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return transducer.digests(documents(spark, sf_dir), transducer.StreamingBpe(spark, public_tokenizers.path("byte_bpe_50k.json")))
