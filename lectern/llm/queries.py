@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, transducer, twins
+from lectern.llm import alignment, bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, transducer, twins
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry, table
 
@@ -76,3 +76,11 @@ def op13_streaming_bpe(spark, sf_dir):
     import public_tokenizers
 
     return transducer.digests(documents(spark, sf_dir), transducer.StreamingBpe(spark, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@REGISTRY.query("op12_alignment")
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    cross = alignment.CrossTokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.digests(documents(spark, sf_dir), cross, Scratch(spark, "op12"))
