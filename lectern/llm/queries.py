@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import alignment, bpe, decontam, embdedup, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, transducer, twins
+from lectern.llm import alignment, bpe, decontam, embdedup, filteraudit, langid, linededup, lm, ngramjoin, pii, suffixdedup, superkmer, transducer, twins
 from lectern.llm.common import Scratch, crc_mod5, documents
 from lectern.registry import Registry, table
 
@@ -84,3 +84,8 @@ def op12_alignment(spark, sf_dir):
 
     cross = alignment.CrossTokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.digests(documents(spark, sf_dir), cross, Scratch(spark, "op12"))
+
+
+@REGISTRY.query("op11_filter_audit", filteraudit.SQL)
+def op11_filter_audit(spark, sf_dir):
+    return filteraudit.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"), Scratch(spark, "op11"))
