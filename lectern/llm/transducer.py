@@ -36,7 +36,7 @@ from lectern.llm.common import bounded_batches, sliced
 
 #: What ends a pre-token, in the order in which it is tried.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens kept encoded per task, and the longest of them in characters; the table starts anew when it is full.
+#: Pre-tokens kept encoded per task, twice over, and the longest of them in characters.
 CACHE, CACHED = 150_000, 128
 #: Bytes that a full buffer of the transducer holds besides its lookahead.
 STEP = 2_048
@@ -80,7 +80,8 @@ class Vocabulary:
         self.lookahead = lookahead(merges)
         self.longest = max(map(len, ids))
         self.byte = [ids[bytes([b])] for b in range(256)]
-        self.rank = {(ids[a], ids[b]): (k, ids[a + b]) for k, (a, b) in enumerate(merges)}
+        self.rank = {(ids[a], ids[b]): k for k, (a, b) in enumerate(merges)}
+        self.made = [ids[a + b] for a, b in merges]
         self.pieces = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for token, i in [*ids.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.pieces[i] = token
@@ -113,26 +114,44 @@ class Transducer:
 
     def _merged(self, data: bytes) -> list[int]:
         """The ids of ``data`` as a whole."""
-        rank = self.vocabulary.rank
-        ids: list[int | None] = list(map(self.vocabulary.byte.__getitem__, data))
-        n = len(ids)
+        ids = list(map(self.vocabulary.byte.__getitem__, data))
+        return self._short(ids) if len(ids) <= CACHED else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        """Merges by looking for the least rank each time: the quickest for a word."""
+        rank, made = self.vocabulary.rank.get, self.vocabulary.made
+        none = len(made)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i : i + 2] = (made[least],)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+        return ids
+
+    def _long(self, ids: list[int | None]) -> list[int]:
+        """Merges by a queue of ranks and places."""
+        rank, made, n = self.vocabulary.rank.get, self.vocabulary.made, len(ids)
         before, after = list(range(-1, n)), list(range(1, n + 2))
-        queue = [(*r, i) for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank.get(pair))]
+        queue = [(r, i) for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank(pair)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, made, i = heapq.heappop(queue)
+            least, i = heapq.heappop(queue)
             j = after[i]
-            if j >= n or ids[i] is None or rank.get((ids[i], ids[j]), (0, -1))[1] != made:
+            if j >= n or ids[i] is None or rank((ids[i], ids[j])) != least:
                 continue  # one of the two has been merged since
-            ids[i], ids[j] = made, None
+            ids[i], ids[j] = made[least], None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get((made, ids[k])):
-                    heapq.heappush(queue, (*r, i))
+                if (r := rank((ids[i], ids[k]))) is not None:
+                    heapq.heappush(queue, (r, i))
             h = before[i]
-            if h >= 0 and (r := rank.get((ids[h], made))):
-                heapq.heappush(queue, (*r, h))
+            if h >= 0 and (r := rank((ids[h], ids[i]))) is not None:
+                heapq.heappush(queue, (r, h))
         return [x for x in ids if x is not None]
 
     def feed(self, data: bytes) -> list[int]:
@@ -153,32 +172,37 @@ class Transducer:
         return self._merged(held)
 
 
+class Known(dict):
+    """Packed ids by pre-token, found when they are first asked for. When it is full, what wasn't asked for since the last time goes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.one, self.old = Transducer(vocabulary), {}
+
+    def __missing__(self, pretoken: str) -> bytes:
+        packed = self.old.get(pretoken)
+        if packed is None:
+            found = self.one.feed(pretoken.encode()) + self.one.finish()
+            packed = struct.pack(f"<{len(found)}I", *found)
+        if len(pretoken) <= CACHED:
+            if len(self) >= CACHE:
+                self.old = self.copy()
+                self.clear()
+            self[pretoken] = packed
+        return packed
+
+
 class Encoder:
     """Encodes in one process; short pre-tokens are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known = vocabulary, Known(vocabulary)
         self.split = regex.compile(PRETOKENS).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
 
     def tokens(self, pretokens: list[str]) -> bytes:
         """Packed ids of whole pre-tokens."""
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pretokens))
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        one, out = Transducer(self.vocabulary), []
-        for p in pretokens:
-            if (ids := known.get(p)) is None:
-                found = one.feed(p.encode()) + one.finish()
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(p) <= CACHED:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, pretokens))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
