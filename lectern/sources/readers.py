@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import html
+import io
 import re
 import xml.etree.ElementTree as ET
+import zipfile
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from lectern.functions import codecs, dates
 
@@ -188,3 +192,24 @@ def book_kind(path: Column) -> Column:
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     kinds = F.create_map(*[F.lit(x) for pair in BOOK_KINDS.items() for x in pair])
     return F.try_element_at(kinds, ending)
+
+
+def archive_entries(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` (say of the binaryFile source) with one row per entry of each zip archive: ``name`` and ``data``; a broken archive is one row with ``error``."""
+    rest = [f for f in files.schema.fields if f.name not in (content, "name", "data", "error")]
+    schema = StructType([*rest, StructField("name", StringType()), StructField("data", BinaryType()), StructField("error", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, rows = batch.slice(i, 1), []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(row.column(content)[0].as_py() or b"")) as z:
+                        rows = [(e.filename, z.read(e), None) for e in z.infolist() if not e.is_dir()]
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
+                    rows = [(None, None, type(e).__name__)]
+                again = row.select([f.name for f in rest]).take(pa.array([0] * len(rows), pa.int64()))
+                new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*again.columns, *new], names=schema.names)
+
+    return files.mapInArrow(run, schema)
