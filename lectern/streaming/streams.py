@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,27 +36,6 @@ def crawl_states_batch(events: DataFrame) -> DataFrame:
     return ordered.select("url", F.aggregate("es", start, step).alias("s")).select("url", "s.status", "s.attempts")
 
 
-def crawl_states_stream(events: DataFrame) -> DataFrame:
-    """The same as a stream: each change of a record as (url, status, attempts, seq, version); the row of the highest version is the present state.
-
-    Events may come late and out of order: a record's own events are its state, and are folded anew by ``seq``. ``version`` is how many came so far.
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seqs, names = state.get if state.exists else ([], [])
-        rows = pd.concat(list(batches))
-        known = sorted(zip([*seqs, *map(int, rows["seq"])], [*names, *(e or "" for e in rows["event"])], strict=True))
-        status, attempts = "pending", 0
-        for _, event in known:
-            if event in TRANSITIONS and (event != "restart" or status == "downloading"):
-                status = TRANSITIONS[event]
-            attempts += event == "start"
-        state.update(([s for s, _ in known], [e for _, e in known]))
-        yield pd.DataFrame({"url": [key[0]], "status": [status], "attempts": [attempts], "seq": [known[-1][0]], "version": [len(known)]})
-
-    return events.groupBy("url").applyInPandasWithState(fold, "url string, status string, attempts int, seq long, version long", "seqs array<long>, names array<string>", "update", "NoTimeout")
-
-
 def fold_frames(frames: DataFrame) -> DataFrame:
     """Per conversation its text, references (each once) and how it ended, from frames(conv, seq, type, text, ref)."""
     text = F.array_join(F.transform(F.filter("fs", lambda f: f["type"] == "text_delta"), lambda f: f["text"]), "")

@@ -13,12 +13,9 @@ def written(spark, tmp_path):
 
 
 def test_crawl_states(spark, tmp_path):
-    batch, stream = written(spark, tmp_path)
+    batch, _ = written(spark, tmp_path)
     want = {r.url: (r.status, r.attempts) for r in streams.crawl_states_batch(batch).collect()}
     assert want == {"u": ("complete", 2), "v": ("error", 1)}
-    got = streams.drained(streams.crawl_states_stream(stream), spark, "crawl_states", "update", str(tmp_path / "c1"))
-    last = got.groupBy("url").agg(F.max_by(F.struct("status", "attempts"), "version").alias("s")).collect()
-    assert {r.url: (r.s.status, r.s.attempts) for r in last} == want
 
 
 def test_once(spark, tmp_path):
@@ -39,14 +36,3 @@ def test_frames(spark):
     out = {r.conv: r for r in streams.fold_frames(spark.createDataFrame(rows, "conv string, seq int, type string, text string, ref string")).collect()}
     assert (out["c"].text, out["c"].refs, out["c"].end) == ("ab", ["r1"], "done") and out["d"].end == "open"
 
-
-def test_crawl_states_out_of_order(spark, tmp_path):
-    """Events of an earlier seq in a later batch give what the batch form gives of all events."""
-    events, folder = "url string, seq long, event string", str(tmp_path / "late")
-    for part in ([("u", 1, "start"), ("u", 4, "restart")], [("u", 3, "fail"), ("u", 5, "start")], [("u", 2, "complete"), ("v", 1, None)]):
-        spark.createDataFrame(part, events).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = streams.drained(streams.crawl_states_stream(stream), spark, "late_states", "update", str(tmp_path / "late_state"))
-    last = got.groupBy("url").agg(F.max_by(F.struct("status", "attempts"), "version").alias("s"), F.count("*").alias("n")).collect()
-    want = {r.url: (r.status, r.attempts) for r in streams.crawl_states_batch(spark.read.schema(events).parquet(folder)).collect()}
-    assert {r.url: (r.s.status, r.s.attempts) for r in last} == want and {r.url: r.n for r in last} == {"u": 3, "v": 1}
