@@ -298,3 +298,18 @@ def register(r: Registry) -> None:
     def sanitised_chapters(spark, sf_dir):
         s = table(spark, sf_dir, "pages").select("page_id", sanitise.sanitise(F.col("page_id").cast("string"), F.col("html")).alias("s"))
         return s.select("page_id", "s.html", F.size("s.notes").alias("notes"), F.size("s.assets").alias("assets"))
+
+    @r.query(
+        "semantic_chapters",
+        """WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment, 'https://x.org/' || c_custkey || '.png' AS url FROM customer)
+           SELECT k AS c_custkey, '<h2 data-align="center">' || c_name || '<sup data-annotation-id="annotation:' || substr(sha256(k || ':0:t'), 1, 16) || '"></sup></h2><p><strong>' || c_mktsegment || '</strong></p><p data-role="attribution" data-indent="none" data-align="right">see <sup data-annotation-id="annotation:'
+             || substr(sha256(k || ':text:0:1:note ' || k), 1, 16) || '"></sup></p><figure data-asset-id="asset:image-' || substr(sha256(url), 1, 16) || '"><figcaption>C</figcaption></figure><p>a</p><p>b</p>' AS html, '*: t; 1: note ' || k AS notes, url AS assets FROM c""",
+    )
+    def semantic_chapters(spark, sf_dir):
+        markup = F.concat(
+            F.lit('<body><title/><h2 class="chapterTitle title-c">'), "c_name", F.lit('<img class="qqreader-footnote" alt="t"></h2><span class="bold"><p>'), "c_mktsegment", F.lit('</p></span><div><p class="author">see [1]<p>[1] note '), F.col("c_custkey").cast("string"),
+            F.lit('<p><img src="https://x.org/'), F.col("c_custkey").cast("string"), F.lit('.png" alt="A"></p><p class="imgtitle">C</p><p>a<p>b</div></body>'),
+        )
+        s = table(spark, sf_dir, "customer").select("c_custkey", sanitise.sanitise(F.col("c_custkey").cast("string"), markup).alias("s"))
+        told = F.array_join(F.transform("s.notes", lambda n: F.concat(n["label"], F.lit(": "), n["body"])), "; ")
+        return s.select("c_custkey", "s.html", told.alias("notes"), F.array_join(F.transform("s.assets", lambda a: a["url"]), " ").alias("assets"))

@@ -25,7 +25,7 @@ def test_images_and_notes():
     out = sanitised("c", '<h1 class="chapterTitle">T<img class="qqreader-footnote" alt="on the title"></h1><p>a<span data-wr-footernote="first  note">x</span>b<img src="https://x.org/a.png" alt="A map"><img src="a.png" alt="lost"><img src="https://x.org/h.png" class="h-pic"></p>')
     assert [(n["label"], n["body"]) for n in out["notes"]] == [("*", "on the title"), ("1", "first note")]
     assert [a["url"] for a in out["assets"]] == ["https://x.org/a.png", "https://x.org/h.png"]
-    assert "<figcaption>A map</figcaption></figure>lost<span data-asset-id=" in out["html"] and 'data-role="inline-image"' in out["html"]
+    assert "<figcaption>A map</figcaption></figure><p>lost<span data-asset-id=" in out["html"] and 'data-role="inline-image"' in out["html"]
     assert out["html"].count("<sup data-annotation-id=") == 2
 
 
