@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import shared_folder
+
 
 def best_by_key(rows: DataFrame, keys: list[str], quality: list[Column], position: str) -> tuple[DataFrame, DataFrame]:
     """(winners, losers): per key the row of the highest quality tuple, of equal ones the first by ``position``."""
@@ -40,22 +42,18 @@ def carry_forward(rows: DataFrame, group: str, order: str, *targets: str) -> Dat
 def parents(nodes: DataFrame, group: str, order: str, level: str) -> DataFrame:
     """``parent``: the order of the nearest row before of a smaller level, if that is the level above; else null, as at the root.
 
-    A level under 1 or null is 1. A stack is folded over each group's rows: what a shallower node closes can't be a parent any more.
+    A level under 1 or null is 1. For each level that its group has, a row says that it opens the level below it, or that it closes those further down; a row's parent is what
+    the last such word about its own level before it names. So a group is dealt out by its levels, and no group's rows are gathered.
     """
     nodes = nodes.withColumn(level, F.greatest(F.lit(1), F.coalesce(F.col(level).cast("int"), F.lit(1))))
-    rest = [c for c in nodes.columns if c != group]
-    held = nodes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(level).alias("_l"), *rest))).alias("_ns"))
-    kind = f"struct<stack: array<struct<o: bigint, l: int>>, out: array<bigint>>"  # noqa: F541
-    start = F.from_json(F.lit('{"stack": [], "out": []}'), kind)
-
-    def step(acc, n):
-        stack = F.filter(acc["stack"], lambda s: s["l"] < n["_l"])
-        top = F.when(F.try_element_at(stack, F.lit(-1))["l"] == n["_l"] - 1, F.try_element_at(stack, F.lit(-1))["o"])
-        grown = F.concat(stack, F.array(F.struct(n["_o"].cast("bigint").alias("o"), n["_l"].cast("int").alias("l"))))
-        return F.struct(grown.alias("stack"), F.concat(acc["out"], F.array(top)).alias("out"))
-
-    folded = held.withColumn("_p", F.aggregate("_ns", start, step, lambda acc: acc["out"]))
-    return folded.select(group, F.explode(F.arrays_zip("_ns", F.col("_p").alias("_p"))).alias("_x")).select(group, *[F.col(f"_x._ns.{c}").alias(c) for c in rest], F.col("_x._p").alias("parent"))
+    nodes = nodes.withColumn("_id", F.struct(F.col(order), F.col(level), F.monotonically_increasing_id()))
+    below = nodes.select(group, F.col(level).alias("_k")).distinct()
+    rows = nodes.select(group, "_id", F.col(order).cast("bigint").alias("_o"), F.col(level).alias("_l"))
+    words = rows.join(below, group).where("_k > _l").select(group, "_k", "_id", F.struct(F.when(F.col("_k") == F.col("_l") + 1, F.col("_o")).alias("o")).alias("_w"))
+    asked = nodes.withColumns({"_k": F.col(level), "_w": F.lit(None).cast("struct<o: bigint>")})
+    before = Window.partitionBy(group, "_k").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    told = asked.withColumn("_asks", F.lit(True)).unionByName(words, allowMissingColumns=True).withColumn("parent", F.last("_w", ignorenulls=True).over(before)["o"])
+    return told.where("_asks").drop("_id", "_k", "_w", "_asks")
 
 
 def split_by_markers(markers: DataFrame, group: str, n: str) -> DataFrame:
@@ -165,17 +163,22 @@ def flatten_tree(nodes: DataFrame, item: str) -> DataFrame:
     A node whose parent is not there is a root. Paths double: each round joins a node's path to that of the highest node it has come to,
     so a tree of d levels takes about log2(d) rounds. Nodes that lead to themselves are an error.
     """
+    at = shared_folder(nodes.sparkSession, "tree")
+
+    def saved(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{at}/{k}")
+        return nodes.sparkSession.read.schema(df.schema).parquet(f"{at}/{k}")
+
     ids = nodes.select(item, F.col("node_id").alias("parent_id"), F.col("node_id").alias("up")).distinct()
-    state = nodes.select(item, "node_id", "parent_id", F.array("ord").alias("path")).join(ids, [item, "parent_id"], "left").select(item, "node_id", "up", "path").persist()
+    state = saved(nodes.select(item, "node_id", "parent_id", F.array("ord").alias("path")).join(ids, [item, "parent_id"], "left").select(item, "node_id", "up", "path"), 0)
     most, rounds = state.count(), 0
     while not state.where("up IS NOT NULL").isEmpty():
         if 2**rounds > most:
             raise ValueError("some nodes lead to themselves")
         above = state.select(F.col(item), F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        before, rounds = state, rounds + 1
-        state = state.join(above, [item, "up"], "left").select(item, "node_id", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")).persist()
-        state.count()
-        before.unpersist()
+        rounds += 1
+        grown = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        state = saved(state.join(above, [item, "up"], "left").select(item, "node_id", F.col("_up").alias("up"), grown.alias("path")), rounds)
     return nodes.join(state.select(item, "node_id", (F.size("path") - 1).alias("depth"), "path"), [item, "node_id"]).select(*nodes.columns, "depth", "path")
 
 

@@ -13,27 +13,35 @@ def active(starts: Column, ends: Column, now: Column) -> Column:
     return (starts.isNull() | (starts <= now)) & (ends.isNull() | (now < ends))
 
 
+#: Flags that are sent to every task; more meet the users without a broadcast.
+BROADCAST_FLAGS = 10_000
+
+
 def evaluate(flags: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """(key, user_id, enabled, rule_id, revision) for each flag and user: the first matching enabled rule decides.
 
     flags(key, revision, rules): each rule has id, conditionType, serve, percentage, bucketSalt, startsAt, endsAt, enabled,
-    userIds. A null user_id is anonymous. Without a match: off, no rule, the flag's revision. The flag table is the small side.
+    userIds. A null user_id is anonymous. Without a match: off, no rule, the flag's revision. A flag's rules stay one array, of which each row takes the first
+    that matches, so that nothing is shuffled but to find the distinct users.
     """
-    rules = flags.select("key", "revision", F.posexplode_outer("rules").alias("pos", "rule"))
-    r = F.col("rule")
-    signed_in = F.col("user_id").isNotNull()
-    match = (
-        F.when(r["conditionType"] == "global", F.lit(True))
-        .when(r["conditionType"] == "authenticated", signed_in)
-        .when(r["conditionType"] == "users", signed_in & F.array_contains(r["userIds"], F.col("user_id")))
-        .when(r["conditionType"] == "percentage", signed_in & (bucket(F.concat_ws(":", r["bucketSalt"], F.col("user_id"))) < r["percentage"]))
-        .otherwise(F.lit(False))
-    )
-    hit = F.coalesce(r["enabled"] & active(r["startsAt"], r["endsAt"], now) & match, F.lit(False))
-    each = users.select("user_id").distinct().crossJoin(rules)
-    first = F.min_by(F.when(hit, F.struct(r["serve"].alias("serve"), r["id"].alias("id"))), F.when(hit, F.col("pos")))
-    chosen = each.groupBy("key", "user_id", "revision").agg(first.alias("first"))
-    return chosen.select("key", "user_id", F.coalesce("first.serve", F.lit(False)).alias("enabled"), F.col("first.id").alias("rule_id"), "revision")
+    user, signed_in = F.col("user_id"), F.col("user_id").isNotNull()
+
+    def hit(r: Column) -> Column:
+        match = (
+            F.when(r["conditionType"] == "global", F.lit(True))
+            .when(r["conditionType"] == "authenticated", signed_in)
+            .when(r["conditionType"] == "users", signed_in & F.array_contains(r["userIds"], user))
+            .when(r["conditionType"] == "percentage", signed_in & (bucket(F.concat_ws(":", r["bucketSalt"], user)) < r["percentage"]))
+            .otherwise(F.lit(False))
+        )
+        return F.coalesce(r["enabled"] & active(r["startsAt"], r["endsAt"], now) & match, F.lit(False))
+
+    given = flags.select("key", "revision", "rules")
+    if given.limit(BROADCAST_FLAGS + 1).count() <= BROADCAST_FLAGS:
+        given = F.broadcast(given)
+    first = F.get(F.filter("rules", hit), F.lit(0))
+    each = users.select("user_id").distinct().crossJoin(given).select("key", "user_id", "revision", first.alias("first"))
+    return each.select("key", "user_id", F.coalesce("first.serve", F.lit(False)).alias("enabled"), F.col("first.id").alias("rule_id"), "revision")
 
 
 def rule_errors(flags: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import sqlite3
+import tempfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lectern.functions import readings
 from lectern.operators import validation
 from lectern.registry import Registry, table
 from lectern.session import shared_folder
-from lectern.sources import snapshot
+from lectern.sources import places, snapshot, sqlite
 
 
 def register(r: Registry) -> None:
@@ -71,3 +77,31 @@ def register(r: Registry) -> None:
         at = shared_folder(spark, "errors")
         validation.validate(validation.checked(datasets, items, fragments, documents), at, {})
         return spark.read.schema("kind string, object string, error string").parquet(at)
+
+    @r.query("sqlite_rows", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 1000.5 AND c_nationkey IN (1, 2, 3)")
+    def sqlite_rows(spark, sf_dir):
+        at = shared_folder(spark, "sqlite")
+
+        def store(key: tuple, rows: pa.Table) -> pa.Table:
+            # a database is made in a folder of the task's own and then put where all see it
+            with tempfile.TemporaryDirectory() as own:
+                with contextlib.closing(sqlite3.connect(f"{own}/t.db")) as db:
+                    db.execute("CREATE TABLE customer (c_custkey INTEGER PRIMARY KEY, c_name TEXT, c_nationkey INT, c_acctbal REAL)")
+                    db.executemany("INSERT INTO customer VALUES (?, ?, ?, ?)", zip(*(rows[c].to_pylist() for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal")), strict=True))
+                    db.commit()
+                with open(f"{own}/t.db", "rb") as f:
+                    places.put(f"{at}/{key[0].as_py()}.db", f.read())
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int64())})
+
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 4).alias("part"))
+        c.groupBy("part").applyInArrow(store, "part long").write.format("noop").mode("overwrite").save()
+        return sqlite.table(spark, at, "customer", rows=200).where("c_acctbal > 1000.5 AND c_nationkey IN (1, 2, 3)")
+
+    @r.query(
+        "title_ids",
+        """WITH p AS (SELECT p_partkey, p_name || ' 重庆' AS title, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')) || '-chong-qing' AS slug FROM part)
+           SELECT p_partkey, CASE WHEN length(slug) <= 80 THEN slug ELSE regexp_replace(substr(slug, 1, 71), '-+$', '') || '-' || substr(sha256(title), 1, 8) END AS id FROM p""",
+    )
+    def title_ids(spark, sf_dir):
+        given = spark.createDataFrame([("重", "zhong", 1), ("重庆", "chong qing", 1), ("庆", "qing", 1)], "phrase string, reading string, rank int")
+        return table(spark, sf_dir, "part").select("p_partkey", readings.title_ids(given)(F.concat("p_name", F.lit(" 重庆"))).alias("id"))
