@@ -37,7 +37,7 @@ from lectern.llm.common import bounded_batches, sliced
 #: What ends a pre-token, in the order in which it is tried.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept encoded per task, twice over, and the longest of them in characters.
-CACHE, CACHED = 150_000, 128
+CACHE, CACHED = 250_000, 128
 #: Bytes that a full buffer of the transducer holds besides its lookahead.
 STEP = 2_048
 #: Characters of a text that are looked at together; a pre-token still open after so many of RUN is passed on as it comes.
