@@ -82,7 +82,7 @@ def _tally(n: int, labels: int):
     return run
 
 
-def audit(df: DataFrame, filters: str, part: str, mask: str, labels: list[str]) -> DataFrame:
+def audit(df: DataFrame, filters: str, part: str, mask: str, labels: list[str], scratch: Scratch) -> DataFrame:
     """One row per part, order of the filters and step, zeros included.
 
     ``filters``: a letter for each bit of the integer column ``mask``, the lowest first. ``labels``: boolean columns; the result
@@ -98,7 +98,7 @@ def audit(df: DataFrame, filters: str, part: str, mask: str, labels: list[str])
 
     # both arrays in one, so that one shuffle sums them: a part's cells are keys of their own
     cell = partial.select("part", F.posexplode(F.concat("masks", "removed")).alias("cell", "n"))
-    total = cell.groupBy("part", "cell").agg(F.sum("n").alias("n"))
+    total = scratch.save(cell.groupBy("part", "cell").agg(F.sum("n").alias("n")), "cells")  # read twice below
 
     size = 1 << n
     # the few hundred cells, by what they stand for: order (a row of permutations), step, filter at that step
@@ -168,7 +168,7 @@ def failing(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The audit of the five filters by source. Extra columns of either table are not looked at."""
     rows = failing(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"), scratch)
-    return audit(rows, FILTERS, "part", "mask", ["good", "toxic"])
+    return audit(rows, FILTERS, "part", "mask", ["good", "toxic"], scratch)
 
 
 SQL = r"""

@@ -76,7 +76,7 @@ def test_empty_tables(spark):
 
 def test_two_filters_and_no_labels(spark):
     df = spark.createDataFrame([("p", m) for m in (0, 1, 2, 3, 3)], "part string, mask int")
-    out = {(r.filter_order, r.step): r for r in FA.audit(df, "XY", "part", "mask", []).collect()}
+    out = {(r.filter_order, r.step): r for r in FA.audit(df, "XY", "part", "mask", [], Scratch(spark, "t")).collect()}
     assert (out["XY", 1].removed, out["XY", 2].removed, out["XY", 2].redundant, out["XY", 2].kept) == (3, 1, 2, 1)
     assert out["YX", 1].shapley == 4 and out["YX", 2].unique_fails == 1
 
