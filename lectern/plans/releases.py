@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import readings
-from lectern.operators import validation
+from lectern.operators import assign, validation
 from lectern.registry import Registry, table
 from lectern.session import shared_folder
 from lectern.sources import places, snapshot, sqlite
@@ -105,3 +105,9 @@ def register(r: Registry) -> None:
     def title_ids(spark, sf_dir):
         given = spark.createDataFrame([("重", "zhong", 1), ("重庆", "chong qing", 1), ("庆", "qing", 1)], "phrase string, reading string, rank int")
         return table(spark, sf_dir, "part").select("p_partkey", readings.title_ids(given)(F.concat("p_name", F.lit(" 重庆"))).alias("id"))
+
+    # a recursion in SQL takes minutes on the whole table: tested against brute force
+    @r.query("dealt_in_turn")
+    def dealt_in_turn(spark, sf_dir):
+        c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("group"), (F.col("c_custkey") % 400).cast("string").alias("name"))
+        return assign.deal_in_turn(c, "group", "name")
