@@ -203,8 +203,26 @@ def distinct_targets(hits: DataFrame, target: str, order: list[Column], size: in
 
 
 def with_fallback(matched: DataFrame, everything: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """The first k matches, or the first k of everything if nothing matches."""
+    """The first k matches, or the first k of everything if nothing matches. The matches, k at most, are found once."""
     k = min(max(k, 1), 12)
-    some = matched.limit(1).select(F.lit(1).alias("_some"))
-    rest = everything.join(some, F.lit(True), "left_anti")
-    return matched.orderBy(*order).limit(k).unionByName(rest.orderBy(*order).limit(k))
+    found = matched.orderBy(*order).limit(k).withColumn("_own", F.lit(True))
+    both = found.unionByName(everything.orderBy(*order).limit(k).withColumn("_own", F.lit(False)))
+    any_own = F.max("_own").over(Window.partitionBy(F.lit(0)))  # 2k rows
+    return both.withColumn("_any", any_own).where(F.col("_own") == F.col("_any")).drop("_own", "_any")
+
+
+def search_condition(
+    query: str, title: Column, content: Column, source: tuple[Column, str] | None = None, dates: tuple[Column, str | None, str | None] | None = None, strict_reference: bool = False
+) -> Column:
+    """One condition for a search of title and content, within a ``source`` (column, value) and ``dates`` (column, first, last).
+
+    A query that is one quoted text matches it with its wildcards, within the case of its letters, if there is no source; with a source it is a phrase like any other. Dates
+    hold for every query; with ``strict_reference`` a quoted text alone is searched in all dates.
+    """
+    held = F.lit(True) if dates is None else in_dates(*dates)
+    if source is None and is_quoted_only(query):
+        text = wildcard(query.strip()[1:-1])
+        found = F.coalesce(title.rlike(text), F.lit(False)) | F.coalesce(content.rlike(text), F.lit(False))
+        return found if strict_reference else found & held
+    found = keyword_condition(query, title, content) & held
+    return found if source is None else found & (source[0] == source[1])

@@ -82,6 +82,24 @@ def register(r: Registry) -> None:
         orders = table(spark, sf_dir, "orders")
         return orders.where(ops.in_dates(F.col("o_orderdate"), "1996-01-01", "1996-03-31")).select("o_orderkey", "o_orderdate")
 
+    def searched(spark, sf_dir, source, strict):
+        o = table(spark, sf_dir, "orders")
+        within = (F.col("o_orderstatus"), "F") if source else None
+        cond = ops.search_condition('"URGENT"', F.col("o_orderpriority"), F.col("o_orderstatus"), within, (F.col("o_orderdate"), "1996-01-01", "1996-03-31"), strict)
+        return o.where(cond).select("o_orderkey", "o_orderpriority")
+
+    @r.query("quoted_in_dates", "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(o_orderpriority, 'URGENT') AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'")
+    def quoted_in_dates(spark, sf_dir):
+        return searched(spark, sf_dir, False, False)
+
+    @r.query("quoted_without_dates", "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(o_orderpriority, 'URGENT')")
+    def quoted_without_dates(spark, sf_dir):
+        return searched(spark, sf_dir, False, True)
+
+    @r.query("quoted_in_source", "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(o_orderpriority, 'URGENT') AND o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'")
+    def quoted_in_source(spark, sf_dir):
+        return searched(spark, sf_dir, True, True)
+
     @r.query(
         "hashed_key_filter",
         "SELECT doc_id, source FROM documents WHERE sha256(source) IN (sha256('src1'), sha256('src7'))",

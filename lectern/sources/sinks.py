@@ -78,17 +78,32 @@ def release_state(documents: DataFrame, release: str, expected: int) -> str:
     return "absent" if n == 0 else "complete" if n == expected else "partial"
 
 
+#: Rows that a report for people may have; it is one file.
+MOST_REPORT = 100_000
+
+
+def _report(df: DataFrame) -> DataFrame:
+    if df.limit(MOST_REPORT + 1).count() > MOST_REPORT:
+        raise ValueError(f"a report of more than {MOST_REPORT} rows")
+    return df
+
+
 def csv_report(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Fixed columns with a header; other columns are left out."""
-    df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file of fixed columns with a header behind a byte-order mark; other columns are left out. More than :data:`MOST_REPORT` rows are an error."""
+    _report(df.select(*columns)).withColumnRenamed(columns[0], "\ufeff" + columns[0]).coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def json_report(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The same rows as one file of JSON lines, nulls included."""
+    _report(df.select(*columns)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def markdown_table(df: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
-    """One row ``markdown``: a table of a report (reports are small)."""
+    """One row ``markdown``: a table of a report. More than :data:`MOST_REPORT` rows are an error."""
     cell = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit("—"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
     head = f"| {' | '.join(columns)} |\n| {' | '.join('---' for _ in columns)} |"
-    listed = df.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), line.alias("l")).agg(F.array_sort(F.collect_list(F.struct("o", "l"))).alias("ls"))
+    listed = _report(df).select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), line.alias("l")).agg(F.array_sort(F.collect_list(F.struct("o", "l"))).alias("ls"))
     return listed.select(F.concat_ws("\n", F.lit(head), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("markdown"))
 
 

@@ -201,3 +201,40 @@ def test_hits_without_highlights(spark):
     with pytest.raises(ValueError):
         search.term_totals(hits, "title", [" "])
     assert search.closest_titles(hits, "title", " ", "_id").count() == 0 and search.in_book(hits, [F.col("_id")], "title", " ").count() == 0
+
+
+def test_search_condition(spark):
+    from lectern.operators import search
+
+    rows = [(1, "An Urgent thing", "x", "s", "2024-01-01"), (2, "x", "so Urgent", "t", "2025-01-01"), (3, None, "urgent", "s", "2024-06-01"), (4, "x", None, "s", "2024-06-01")]
+    df = spark.createDataFrame(rows, "k int, title string, content string, source string, date string")
+    cond = lambda q, **told: sorted(r.k for r in df.where(search.search_condition(q, F.col("title"), F.col("content"), **told)).collect())
+    dates = (F.col("date"), "2024-01-01", "2024-12-31")
+    assert cond('"Urgent"') == [1, 2] and cond('"Urgent"', dates=dates) == [1]
+    assert cond('"Urgent"', dates=dates, strict_reference=True) == [1, 2] and cond("urgent", dates=dates, strict_reference=True) == [1, 3]
+    assert cond('"Urgent"', source=(F.col("source"), "s"), dates=dates, strict_reference=True) == [1, 3]
+    assert cond('"U?gent*"') == [1, 2] and cond('"Urgent"', dates=(F.col("date"), "2024-01-01", None)) == [1, 2]
+
+
+def test_fallback_finds_matches_once(spark):
+    from lectern.operators import search
+
+    every = spark.createDataFrame([(i,) for i in range(5)], "k int")
+    pick = lambda cond: [r.k for r in search.with_fallback(every.where(cond), every, [F.desc("k")], 2).orderBy("k").collect()]
+    assert pick("k < 1") == [0] and pick("k < 4") == [2, 3] and pick("k > 9") == [3, 4]
+    assert search.with_fallback(every.limit(0), every.limit(0), [F.desc("k")], 2).count() == 0
+
+
+def test_reports_are_bounded(spark, tmp_path, monkeypatch):
+    from lectern.sources import sinks
+
+    df = spark.createDataFrame([(1, None), (2, "b")], "k int, v string")
+    sinks.csv_report(df, str(tmp_path / "c"), ["v", "k"])
+    (part,) = (tmp_path / "c").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfv,k\n")
+    sinks.json_report(df, str(tmp_path / "j"), ["k", "v"])
+    assert sorted(line for p in (tmp_path / "j").glob("*.json") for line in p.read_text().split()) == ['{"k":1,"v":null}', '{"k":2,"v":"b"}']
+    monkeypatch.setattr(sinks, "MOST_REPORT", 1)
+    for write in (lambda: sinks.csv_report(df, str(tmp_path / "d"), ["k"]), lambda: sinks.markdown_table(df, ["k"], [F.col("k")])):
+        with pytest.raises(ValueError, match="more than 1"):
+            write()
