@@ -23,7 +23,7 @@ import heapq
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE, CACHED = 250_000, 128
 #: Bytes that a full buffer of the transducer holds besides its lookahead.
 STEP = 2_048
-#: Characters of a text that are looked at together; a pre-token still open after so many of RUN is passed on as it comes.
+#: Characters of a text that are looked at together; a pre-token still open after RUN of them (more than a contraction has) is passed on as it comes.
 PIECE, RUN = 1 << 16, 1_024
 
 
@@ -173,22 +173,21 @@ class Transducer:
 
 
 class Known(dict):
-    """Packed ids by pre-token, found when they are first asked for. When it is full, what wasn't asked for since the last time goes."""
+    """Packed ids by part of a text, found when they are first asked for. When it is full, what wasn't asked for since the last time goes."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, find: Callable[[str], bytes]):
         super().__init__()
-        self.one, self.old = Transducer(vocabulary), {}
+        self.find, self.old = find, {}
 
-    def __missing__(self, pretoken: str) -> bytes:
-        packed = self.old.get(pretoken)
+    def __missing__(self, part: str) -> bytes:
+        packed = self.old.get(part)
         if packed is None:
-            found = self.one.feed(pretoken.encode()) + self.one.finish()
-            packed = struct.pack(f"<{len(found)}I", *found)
-        if len(pretoken) <= CACHED:
+            packed = self.find(part)
+        if len(part) <= CACHED:
             if len(self) >= CACHE:
                 self.old = self.copy()
                 self.clear()
-            self[pretoken] = packed
+            self[part] = packed
         return packed
 
 
@@ -196,10 +195,14 @@ class Encoder:
     """Encodes in one process; short pre-tokens are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, Known(vocabulary)
+        self.vocabulary, self.one, self.known = vocabulary, Transducer(vocabulary), Known(self._find)
         self.split = regex.compile(PRETOKENS).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
 
+    def _find(self, pretoken: str) -> bytes:
+        ids = self.one.feed(pretoken.encode()) + self.one.finish()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def tokens(self, pretokens: list[str]) -> bytes:
         """Packed ids of whole pre-tokens."""
         return b"".join(map(self.known.__getitem__, pretokens))
