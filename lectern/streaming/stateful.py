@@ -18,6 +18,9 @@ from lectern.streaming.streams import TRANSITIONS
 
 #: How long what a fan-in gave is served: after a round with any source, and after one in which all failed. Fixed values.
 SERVED, SERVED_STALE = "300 seconds", "60 seconds"
+#: Rows that a desk folds in memory before they go to its state.
+FOLDED = 50_000
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 RESPONSES = "desk string, round long, started timestamp, expected int, source string, at timestamp, ok boolean, items array<struct<id:string,published:timestamp,body:string>>"
@@ -38,8 +41,13 @@ def _millis(t: datetime) -> int:
     return round(t.timestamp() * 1000)
 
 
-def _time(ms: int) -> datetime:
-    return datetime.fromtimestamp(ms / 1000, UTC)
+def _micros(t: datetime) -> int:
+    """The same in microseconds, which is as exact as Spark's timestamps."""
+    return (t.astimezone(UTC) - EPOCH) // timedelta(microseconds=1)
+
+
+def _time(us: int) -> datetime:
+    return EPOCH + timedelta(microseconds=us)
 
 
 def _item(i) -> tuple:
@@ -47,6 +55,23 @@ def _item(i) -> tuple:
     return tuple(i[k] for k in ("id", "published", "body")) if isinstance(i, dict) else tuple(i)
 
 
+def _response(r) -> tuple:
+    """A response as state gives it."""
+    return tuple(r[k] for k in ("source", "at", "ok", "items")) if isinstance(r, dict) else tuple(r)
+
+
+def _together(known: tuple[int, int, dict] | None, new: tuple[int, int, dict]) -> tuple[int, int, dict]:
+    """A round's earliest start, greatest number of expected sources, and each source's first response (at one time one that failed)."""
+    if known is None:
+        return new
+    held = known[2]
+    for source, response in new[2].items():
+        old = held.get(source)
+        if old is None or (response[0], bool(response[1])) < (old[0], bool(old[1])):
+            held[source] = response
+    return min(new[0], known[0]), max(new[1], known[1]), held
+
+
 # --- fan-in ---------------------------------------------------------------------------------------
 
 
@@ -85,54 +110,77 @@ def _newest_first(a: Column, b: Column) -> Column:
 
 
 class FanIn(StatefulProcessor):
-    """State of a desk: its open rounds (start, expected), their responses, the last items given, and the last round closed.
+    """State of a desk: its open rounds (start, expected, responses), the first of them, the last items given, and the last round closed.
 
-    Rounds close in their order, at the watermark after the deadline; then nothing of them is kept.
+    Rounds close in their order, at the watermark after the deadline; then nothing of them is kept. A batch's rows are folded before they meet the state, ``FOLDED``
+    at most at a time, so that a round's entry is read and written once for all rows of a batch, and once more when it closes. Only the first open round has a timer. Times are in microseconds.
     """
 
     def __init__(self, deadline_ms: int):
-        self.deadline = deadline_ms
+        self.deadline = deadline_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rounds = handle.getMapState("rounds", "round long", "started long, expected int")
-        self.responses = handle.getMapState("responses", "round long, source string", "at long, ok boolean, items array<struct<id:string,published:timestamp,body:string>>")
+        self.rounds = handle.getMapState("rounds", "round long", "started long, expected int, told array<struct<source:string,at:long,ok:boolean,items:array<struct<id:string,published:timestamp,body:string>>>>")
+        self.first = handle.getValueState("first", "round long, due long")
         self.last = handle.getValueState("last", "items array<struct<id:string,published:timestamp,body:string>>")
         self.closed = handle.getValueState("closed", "round long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         done = self.closed.get()[0] if self.closed.exists() else None
+        told: dict[int, tuple[int, int, dict[str, tuple]]] = {}
+        n = 0
         for r in rows:
             if done is not None and r.round <= done:
                 continue
-            start, expected = _millis(r.started), r.expected or 0
-            if self.rounds.containsKey((r.round,)):
-                known = self.rounds.getValue((r.round,))
-                start, expected = min(start, known[0]), max(expected, known[1])
-            self.rounds.updateValue((r.round,), (start, expected))
-            self.handle.registerTimer(start + self.deadline)
-            if r.source is None:
-                continue
-            at, held = _millis(r.at), (r.round, r.source)
-            old = self.responses.getValue(held) if self.responses.containsKey(held) else None
-            if old is None or (at, bool(r.ok)) < (old[0], bool(old[1])):
-                self.responses.updateValue(held, (at, r.ok, [_item(i) for i in r["items"] or ()] if r.ok else []))
+            responses = {} if r.source is None else {r.source: (_micros(r.at), r.ok, [_item(i) for i in r["items"] or ()] if r.ok else [])}
+            told[r.round] = _together(told.get(r.round), (_micros(r.started), r.expected or 0, responses))
+            n += 1
+            if n >= FOLDED:
+                self._keep(told)
+                told, n = {}, 0
+        self._keep(told)
         yield from ()
 
+    def _keep(self, told: dict[int, tuple[int, int, dict[str, tuple]]]) -> None:
+        """Brings what rows tell of rounds into the state."""
+        for round_, new in told.items():
+            known = self._held(round_) if self.rounds.containsKey((round_,)) else None
+            start, expected, responses = told[round_] = _together(known, new)
+            self.rounds.updateValue((round_,), (start, expected, [(s, *v) for s, v in responses.items()]))
+        if told:
+            first = min(told)
+            if not self.first.exists() or first <= self.first.get()[0]:
+                self._await(first, told[first][0])
+
+    def _held(self, round_: int) -> tuple[int, int, dict[str, tuple]]:
+        start, expected, told = self.rounds.getValue((round_,))
+        return start, expected, {s: (at, ok, [_item(i) for i in items or ()]) for s, at, ok, items in map(_response, told)}
+
+    def _await(self, round_: int, start: int) -> None:
+        """The first open round's timer: in whole milliseconds, not before the deadline."""
+        due = -(-(start + self.deadline) // 1000)
+        self.first.update((round_, due))
+        self.handle.registerTimer(due)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        for (round_,), (start, expected) in sorted((tuple(k), tuple(v)) for k, v in self.rounds.iterator()):
-            if start + self.deadline > now:
+        if not self.first.exists() or self.first.get()[1] > now:
+            return  # a timer of before the round's start was known better
+        for (round_,) in sorted(map(tuple, self.rounds.keys())):
+            start, expected, responses = self._held(round_)
+            if start + self.deadline > now * 1000:
+                self._await(round_, start)
                 return  # later rounds wait for this one
-            yield self._close(key[0], round_, start, expected)
+            yield self._close(key[0], round_, start, expected, responses)
+        self.first.clear()
 
-    def _close(self, desk: str, round_: int, start: int, expected: int) -> Row:
-        held = [(k[1], tuple(v)) for k, v in self.responses.iterator() if k[0] == round_]
-        came = sorted((v[0], s, v[1], v[2]) for s, v in held if v[0] <= start + self.deadline)
+    def _close(self, desk: str, round_: int, start: int, expected: int, responses: dict[str, tuple]) -> Row:
+        came = sorted((at, s, ok, items) for s, (at, ok, items) in responses.items() if at <= start + self.deadline)
         well = [c for c in came if c[2]]
         items = None
         if well:
-            found = {i[0]: i for _, _, _, own in well for i in map(_item, own or ())}
+            found = {i[0]: i for _, _, _, own in well for i in own}
             items = sorted(sorted(found.values(), key=lambda i: i[0]), key=lambda i: (i[1] is not None, i[1] or datetime.min), reverse=True)
             items = [i for _, same in _runs(items) for i in sorted(same, key=lambda i: i[0])]
             self.last.update((items,))
@@ -143,8 +191,6 @@ class FanIn(StatefulProcessor):
         served = {"complete": 300, "partial": 300, "stale": 60, "unavailable": None}
         status = ("complete" if whole else "partial") if well else "unavailable" if items is None else "stale"
         until = None if served[status] is None else _time(closed) + timedelta(seconds=served[status])
-        for s, _ in held:
-            self.responses.removeKey((round_, s))
         self.rounds.removeKey((round_,))
         self.closed.update((round_,))
         named = None if items is None else [dict(zip(("id", "published", "body"), i, strict=True)) for i in items]

@@ -107,3 +107,82 @@ def test_records_are_forgotten(spark, tmp_path):
     events = [[("u", 1, "start", at(0))], [("v", 2, "start", at(5000))], [("v", 3, "start", at(5001))], [("u", 4, "complete", at(6000))], [("v", 5, "fail", at(6001))]]
     got = run(spark, tmp_path, events, "url string, seq long, event string, at timestamp", lambda s: S.crawl_records(s, "10 seconds", keep="10 minutes"), "forgotten", "update").collect()
     assert [(x.status, x.attempts) for x in got if x.url == "u"] == [("downloading", 1), ("complete", 0)]
+
+
+class Held:
+    """State in memory, which counts what is read from it."""
+
+    def __init__(self, counts):
+        self.held, self.counts = {}, counts
+
+    def containsKey(self, k):
+        return k in self.held
+
+    def getValue(self, k):
+        self.counts["read"] += 1
+        return self.held[k]
+
+    def updateValue(self, k, v):
+        self.held[k] = v
+
+    def removeKey(self, k):
+        del self.held[k]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        for k, v in list(self.held.items()):
+            self.counts["read"] += 1
+            yield k, v
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, v):
+        self.held[None] = v
+
+    def clear(self):
+        self.held.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.counts, self.timers = {"read": 0}, set()
+
+    def getMapState(self, *_):
+        return Held(self.counts)
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return 10**15
+
+
+def test_fan_in_reads_a_round_once_to_close_it():
+    """A desk of many rounds: closing one doesn't read the others' responses."""
+    handle, desk = Handle(), S.FanIn(8_000)
+    desk.init(handle)
+    rows = [S.Row(round=k, started=at(20 * k), expected=9, source=f"s{n}", at=at(20 * k + n), ok=True, items=[item(n)]) for k in range(40) for n in range(9)]
+    assert list(desk.handleInputRows(("d",), iter(rows), handle)) == []
+    got, fired = [], set()
+    while due := handle.timers - fired:
+        fired.add(min(due))
+        got += desk.handleExpiredTimer(("d",), handle, None)
+    assert [(r.round, r.status, r.came) for r in got] == [(k, "complete", 9) for k in range(40)]
+    assert handle.counts["read"] <= len(rows)  # not a desk's responses for each of its rounds
+
+
+def test_fan_in_keeps_microseconds(spark, tmp_path):
+    late = T0 + timedelta(seconds=3, microseconds=123457)
+    files = [[("d", 1, T0 + timedelta(microseconds=7), 1, "a", late, True, [item(1)]), ("d", 2, T0 + timedelta(seconds=20, microseconds=7), 1, None, None, None, None)], [("d", 99, at(1000), 1, None, None, None, None)]]
+    got = told(run(spark, tmp_path, files, S.RESPONSES, lambda s: S.fan_in_stream(s, late="30 seconds"), "micros", "append").collect())
+    served = late + timedelta(seconds=300)
+    closed = T0 + timedelta(seconds=28, microseconds=7)
+    assert got == {("d", 1): ("complete", 1, 1, late, served, [item(1)]), ("d", 2): ("stale", 0, 0, closed, closed + timedelta(seconds=60), [item(1)])}
