@@ -168,8 +168,10 @@ def isbn(identifier: Column) -> Column:
     return F.nullif(F.regexp_extract(F.replace(identifier, F.lit("-")), r"(97[89][0-9]{10}|[0-9]{9}[0-9Xx])(?![0-9])", 1), F.lit(""))
 
 
-def is_page_mark(text: Column) -> Column:
-    """Nothing but a page number, in digits or Roman numerals, perhaps with dots or dashes around it."""
+def is_page_mark(text: Column, bare: bool = False) -> Column:
+    """Nothing but a page number, in digits or Roman numerals, perhaps with dots or dashes around it; ``bare``: with nothing around it, as "Vi." may be a sentence."""
+    if bare:
+        return text.rlike(r"(?i)^([0-9]{1,4}|[ivxlc]{1,7})\z")
     return text.rlike(r"(?i)^[\s.·\-–—]*([0-9]{1,4}|[ivxlc]{1,7})[\s.·\-–—]*$")
 
 

@@ -11,11 +11,15 @@ from lectern.functions.text import is_page_mark
 CHAPTER = r"^\s*(第[零〇一二三四五六七八九十百0-9]+[章节回卷部篇编]|(?i:chapter|part|volume|book)\s+[0-9ivxlc]+)"
 
 
-def clean(blocks: DataFrame, watermark: str = r"(?i)^\s*(scanned by|watermark)") -> DataFrame:
-    """Blocks with white space collapsed, without page numbers, blank texts, page marks and watermarks."""
+def clean(blocks: DataFrame, watermark: str | None = r"(?i)^\s*(scanned by|watermark)", bare: bool = False) -> DataFrame:
+    """Blocks with white space collapsed, without page numbers, blank texts, page marks and watermarks (None: there are none).
+
+    ``bare``: only numbers without dots or dashes around them are page marks, for texts whose lines may be short sentences.
+    """
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     kept = blocks.withColumn("text", text).where(F.coalesce(F.col("type"), F.lit("")) != "page_number").where("text <> ''")
-    return kept.where(~is_page_mark(F.col("text")) & ~F.col("text").rlike(watermark))
+    marked = kept.where(~is_page_mark(F.col("text"), bare))
+    return marked if watermark is None else marked.where(~F.col("text").rlike(watermark))
 
 
 def unnamed_headings(blocks: DataFrame) -> DataFrame:

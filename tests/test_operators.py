@@ -238,3 +238,22 @@ def test_reports_are_bounded(spark, tmp_path, monkeypatch):
     for write in (lambda: sinks.csv_report(df, str(tmp_path / "d"), ["k"]), lambda: sinks.markdown_table(df, ["k"], [F.col("k")])):
         with pytest.raises(ValueError, match="more than 1"):
             write()
+
+
+def test_short_sentences_are_no_page_marks(spark):
+    rows = [("Vi.", "text"), ("vi", "text"), ("12", "text"), ("12.", "text"), (" - 3 -", "text"), ("Watermarks", "text"), ("7", "page_number"), (" ", None)]
+    df = spark.createDataFrame(rows, "text string, type string")
+    assert sorted(r.text for r in blocks.clean(df, None, bare=True).collect()) == ["- 3 -", "12.", "Vi.", "Watermarks"]
+    assert blocks.clean(df).count() == 0
+
+
+def test_cleaned_blocks_of_short_lines(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    rows = [(1, "Vi.\nLong line.\nxii\n\n 4 "), (2, "- 12 -\nWatermark\nC"), (3, None), (4, "7")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    documents = duckdb.sql(f"FROM '{tmp_path}/documents.parquet/*.parquet'")  # noqa: F841
+    want = duckdb.sql(__spark_entry__.oracle_sql()["cleaned_blocks"]).fetchall()
+    assert sorted(map(tuple, __spark_entry__.queries()["cleaned_blocks"](spark, str(tmp_path)).collect())) == sorted(want) == [(1, 2), (2, 2)]
