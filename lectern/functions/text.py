@@ -37,9 +37,22 @@ def phrase_key(text: Column) -> Column:
     return F.lower(normalise(text))
 
 
-def strip_tags(markup: Column) -> Column:
-    """Tags as spaces, entities as characters, white space collapsed."""
-    return collapse(unescape(F.regexp_replace(markup, "<[^>]*>", " ")))
+def trim_spaces(text: Column) -> Column:
+    """Without the spaces of any width at the ends."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
+def strip_tags(markup: Column, entities: tuple[str, ...] | None = None) -> Column:
+    """Tags as spaces, entities as characters, white space collapsed.
+
+    With ``entities`` only these are replaced, each as a whole with its semicolon and amp last, so that a cut "&amp" stays; then ASCII white space alone collapses.
+    """
+    plain = F.regexp_replace(markup, "<[^>]*>", " ")
+    if entities is None:
+        return collapse(unescape(plain))
+    for name in sorted(entities, key=lambda e: e == "amp"):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
+    return trim_spaces(F.regexp_replace(plain, r"[ \t\n\f\r]+", " "))
 
 
 def html_lines(markup: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import is_page_mark
+from lectern.functions.text import is_page_mark, trim_spaces
 
 #: Headings that name a chapter, part or volume.
 CHAPTER = r"^\s*(第[零〇一二三四五六七八九十百0-9]+[章节回卷部篇编]|(?i:chapter|part|volume|book)\s+[0-9ivxlc]+)"
@@ -16,7 +16,7 @@ def clean(blocks: DataFrame, watermark: str | None = r"(?i)^\s*(scanned by|water
 
     ``bare``: only numbers without dots or dashes around them are page marks, for texts whose lines may be short sentences.
     """
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    text = trim_spaces(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     kept = blocks.withColumn("text", text).where(F.coalesce(F.col("type"), F.lit("")) != "page_number").where("text <> ''")
     marked = kept.where(~is_page_mark(F.col("text"), bare))
     return marked if watermark is None else marked.where(~F.col("text").rlike(watermark))

@@ -36,6 +36,19 @@ def test_text(spark):
     assert one(spark, text.fuzzy_score(F.col("v"), "xyz"), v="abcde") is None
 
 
+@pytest.mark.parametrize(("given", "want"), [("<b>x</b> and&amp y&amp;&am", "x and&amp y&&am"), ("&amp;lt; &lt;&gt;&#39;\n z&nbsp; ", "&lt; <>&#39; z"), (None, None)])
+def test_entities_of_their_names_alone(spark, given, want):
+    """As the SQL of strip_tags_plain has it; with all entities a cut one is one too."""
+    import duckdb
+
+    from lectern.plans.functions import STRIP_TAGS
+
+    assert one(spark, text.strip_tags(F.col("v"), ("amp", "lt", "gt", "nbsp")), v=given or F.lit(given).cast("string")) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, CAST(? AS VARCHAR) AS html", [given])
+    assert con.sql(STRIP_TAGS).fetchall() == [(1, want)]
+
+
 def test_dates(spark):
     told = lambda v: str(one(spark, dates.feed_time(F.col("v")).cast("string"), v=v))
     assert told("Wed, 02 Oct 2024 13:00:00 GMT") == "2024-10-02 13:00:00"

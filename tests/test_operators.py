@@ -252,8 +252,8 @@ def test_cleaned_blocks_of_short_lines(spark, tmp_path):
 
     import __spark_entry__
 
-    rows = [(1, "Vi.\nLong line.\nxii\n\n 4 "), (2, "- 12 -\nWatermark\nC"), (3, None), (4, "7")]
+    rows = [(1, "Vi.\nLong line.\nxii\n\n 4 "), (2, "- 12 -\nWatermark\nC"), (3, None), (4, "7\n\u3000\n\u00a0z\u00a0")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     documents = duckdb.sql(f"FROM '{tmp_path}/documents.parquet/*.parquet'")  # noqa: F841
     want = duckdb.sql(__spark_entry__.oracle_sql()["cleaned_blocks"]).fetchall()
-    assert sorted(map(tuple, __spark_entry__.queries()["cleaned_blocks"](spark, str(tmp_path)).collect())) == sorted(want) == [(1, 2), (2, 2)]
+    assert sorted(map(tuple, __spark_entry__.queries()["cleaned_blocks"](spark, str(tmp_path)).collect())) == sorted(want) == [(1, 2), (2, 2), (4, 1)]
