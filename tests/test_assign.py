@@ -44,6 +44,24 @@ def test_every_name_in_every_group(spark):
     assert sorted((r.g, r.n, r.turn, r.ord) for r in got) == sorted(plain(rows))
 
 
+def test_many_claims_in_few_jobs(spark, monkeypatch, tmp_path):
+    """Names that many groups want, by blocks; as many tables are written as blocks need, not as turns do."""
+    monkeypatch.setattr(assign, "shared_folder", lambda *_: str(tmp_path / "at"))
+    r = random.Random(11)
+    rows = [(f"g{g}", f"n{n}") for g in range(12) for n in range(60) if r.random() < 0.8] + [(f"g{g}", f"own{g}-{n}") for g in range(0, 12, 3) for n in range(9)]
+    got = assign.deal_in_turn(spark.createDataFrame(rows, "g string, n string"), "g", "n", block=200).collect()
+    assert sorted((x.g, x.n, x.turn, x.ord) for x in got) == sorted(plain(rows))
+    assert len(list((tmp_path / "at").iterdir())) <= 12
+
+
+def test_few_tables_for_few_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(assign, "shared_folder", lambda *_: str(tmp_path / "at"))
+    rows = [(f"g{g}", f"n{n}") for g in range(4) for n in range(12)]
+    got = assign.deal_in_turn(spark.createDataFrame(rows, "g string, n string"), "g", "n").collect()
+    assert sorted((x.g, x.n, x.turn, x.ord) for x in got) == sorted(plain(rows))
+    assert len(list((tmp_path / "at").iterdir())) <= 6
+
+
 def test_nothing_to_deal(spark):
     assert assign.deal_in_turn(spark.createDataFrame([], "g string, n string"), "g", "n").count() == 0
 
