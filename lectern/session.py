@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "lectern", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -27,6 +27,11 @@ def local_session(app: str = "lectern", cpus: int | None = None, **conf: str) ->
     return spark
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew for long work on small rows, in a few parts for each core: a small file is one part else, and adaptive execution would join small parts again."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names; it goes when the JVM ends.
 
