@@ -93,7 +93,7 @@ def register(r: Registry) -> None:
                     places.put(f"{at}/{key[0].as_py()}.db", f.read())
             return pa.table({"part": pa.array([key[0].as_py()], pa.int64())})
 
-        c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 4).alias("part"))
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", F.expr("c_custkey div 40000 * 4 + c_custkey % 4").alias("part"))
         c.groupBy("part").applyInArrow(store, "part long").write.format("noop").mode("overwrite").save()
         return sqlite.table(spark, at, "customer", rows=200).where("c_acctbal > 1000.5 AND c_nationkey IN (1, 2, 3)")
 

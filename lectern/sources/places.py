@@ -8,6 +8,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 
 
+#: Partitions that a data source makes at most for the sake of its smallest share; larger inputs get larger shares.
+MOST_PARTS = 2_000
+
+
 def place(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path, and the path in it; ``file:`` may have any number of slashes."""
     if path.startswith("file:"):

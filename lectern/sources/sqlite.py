@@ -75,7 +75,7 @@ class SqliteReader(DataSourceReader):
                 self.values += values
 
     def partitions(self) -> list[Rows]:
-        out = []
+        out, spans = [], []
         for path, _ in places.listed(self.path, ENDINGS):
             with connect(path) as db:
                 try:
@@ -85,7 +85,11 @@ class SqliteReader(DataSourceReader):
                         raise
                     out.append(Rows(path, None, None))  # a table without row numbers
                     continue
-            out += [Rows(path, a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)] if low is not None else []
+            if low is not None:
+                spans.append((path, low, high))
+        # row numbers may have gaps, so that a range holds that many rows at most
+        rows = max(self.rows, -(-sum(high - low + 1 for _, low, high in spans) // places.MOST_PARTS))
+        out += [Rows(path, a, min(a + rows - 1, high)) for path, low, high in spans for a in range(low, high + 1, rows)]
         return out or [Rows("", None, None)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:

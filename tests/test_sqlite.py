@@ -65,3 +65,22 @@ def test_read_only_and_odd_tables(spark, tmp_path):
         db.execute("CREATE TABLE t (k TEXT PRIMARY KEY, n INT) WITHOUT ROWID")
         db.execute("INSERT INTO t VALUES ('a', 1)")
     assert [tuple(r) for r in sqlite.table(spark, str(tmp_path / "w.db"), "t").collect()] == [("a", 1)]
+
+
+def test_partitions_are_bounded(tmp_path, monkeypatch):
+    """Small shares make no more partitions than a bound, with gaps in row numbers too, and lose no row."""
+    import contextlib
+    import sqlite3
+
+    from lectern.sources import places, sqlite
+
+    monkeypatch.setattr(places, "MOST_PARTS", 10, raising=False)
+    for part in range(3):
+        with contextlib.closing(sqlite3.connect(f"{tmp_path}/{part}.db")) as db:
+            db.execute("CREATE TABLE t (k INTEGER PRIMARY KEY)")
+            db.executemany("INSERT INTO t VALUES (?)", [(4 * k + part,) for k in range(500)])
+            db.commit()
+    reader = sqlite.SqliteReader(str(tmp_path), "t", [("k", "bigint")], 5)
+    parts = reader.partitions()
+    assert len(parts) <= 10 + 3
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(4 * k + part for k in range(500) for part in range(3))
