@@ -153,15 +153,17 @@ class PalmReader(DataSourceReader):
 
     def partitions(self) -> list[Shares]:
         """By sizes alone: no file is opened before the tasks run."""
-        out, small, room = [], [], self.share
-        for file, size in places.listed(self.path, ENDINGS):
-            n = -(-size // self.share)
+        files = places.listed(self.path, ENDINGS)
+        share = max(self.share, -(-sum(size for _, size in files) // places.MOST_PARTS))
+        out, small, room = [], [], share
+        for file, size in files:
+            n = -(-size // share)
             if n > 1:
                 out += [Shares([(file, k, n)]) for k in range(n)]
                 continue
             if small and size > room:
                 out.append(Shares(small))
-                small, room = [], self.share
+                small, room = [], share
             small.append((file, 0, 1))
             room -= size
         return out + ([Shares(small)] if small else [])
@@ -208,7 +210,7 @@ class PalmReader(DataSourceReader):
 
 
 class PalmRecords(DataSource):
-    """``spark.read.format("palm_records").load(folder or file)``; option ``shareBytes``: a task's bytes."""
+    """``spark.read.format("palm_records").load(folder or file)``; option ``shareBytes``: a task's bytes, or more where that would be over 2,000 tasks."""
 
     @classmethod
     def name(cls) -> str:

@@ -90,3 +90,14 @@ def test_places(tmp_path):
 
 def test_no_books(spark, tmp_path):
     assert mobi.chapters(mobi.records(spark, str(tmp_path))).count() == 0
+
+
+def test_partitions_of_books_are_bounded(tmp_path, monkeypatch):
+    from lectern.sources import mobi, places
+
+    monkeypatch.setattr(places, "MOST_PARTS", 6, raising=False)
+    for k in range(40):
+        (tmp_path / f"{k}.mobi").write_bytes(bytes(1000 if k else 9000))
+    shares = mobi.PalmReader(str(tmp_path), 500).partitions()
+    assert len(shares) <= 2 * 6 + 1
+    assert len({f[0] for s in shares for f in s.files}) == 40
