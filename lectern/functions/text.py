@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -12,16 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Texts of an Arrow batch that are Python objects at a time.
+STEP = 100
+
+
+def by_steps(texts: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+    """``of`` each text as one array, a few texts at a time: a batch may hold thousands of long ones."""
+    parts = [pa.array([of(t) for t in texts.slice(i, STEP).to_pylist()], kind) for i in range(0, len(texts), STEP)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @F.arrow_udf(StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
-    """Unicode normal form NFKC; ASCII passes as it is."""
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return by_steps(texts, lambda t: t if t is None else unicodedata.normalize("NFKC", t), pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode normal form NFKC; ASCII passes as it is and isn't sent to Python."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
 
 @F.arrow_udf(StringType())
 def unescape(texts: pa.Array) -> pa.Array:
     """HTML entities as their characters."""
-    return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in texts.to_pylist()], pa.string())
+    return by_steps(texts, lambda t: t if t is None or "&" not in t else html.unescape(t), pa.string())
 
 
 def collapse(text: Column) -> Column:
@@ -37,6 +53,11 @@ def phrase_key(text: Column) -> Column:
     return F.lower(normalise(text))
 
 
+def phrase_key_of(phrase: str) -> Column:
+    """The key of one given phrase, which no row needs Python for."""
+    return F.lower(collapse(F.lit(unicodedata.normalize("NFKC", phrase))))
+
+
 def trim_spaces(text: Column) -> Column:
     """Without the spaces of any width at the ends."""
     return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import fuzzy_score, phrase_key
+from lectern.functions.text import fuzzy_score, phrase_key, phrase_key_of
 
 
 def exclude(hits: DataFrame, superseded: DataFrame, key: str) -> DataFrame:
@@ -177,8 +177,8 @@ def overlay_page(base: DataFrame, delta: DataFrame, state: DataFrame, order: lis
 
 def in_book(blocks: DataFrame, order: list[Column], text: str, query: str, size: int = 30) -> DataFrame:
     """The first blocks in the book's order whose text holds the query, both normalised and lower-cased; none for a blank query."""
-    held = F.contains(phrase_key(F.col(text)), phrase_key(F.lit(query)))
-    return blocks.where(held & (phrase_key(F.lit(query)) != "")).orderBy(*order).limit(size)
+    key = phrase_key_of(query)
+    return blocks.where((key != "") & F.contains(phrase_key(F.col(text)), key)).orderBy(*order).limit(size)
 
 
 def closest_titles(books: DataFrame, title: str, query: str, tie: str, k: int = 6) -> DataFrame:

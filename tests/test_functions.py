@@ -145,3 +145,36 @@ def test_parts_with_swaps():
         body = swapped(text)
         cut = len(body) // 2
         assert codecs.unwrapped_parts(["S" * 32 + body[:cut], "T" * 32 + body[cut:]]) == text
+
+
+def test_a_few_texts_at_a_time():
+    """A batch's texts are not all Python objects at once, whatever is made of them."""
+    import pyarrow as pa
+
+    seen, sizes = [], []
+
+    def of(t):
+        seen.append(t)
+        return t
+
+    class Texts:
+        def __len__(self):
+            return 1234
+
+        def slice(self, at, n):
+            sizes.append(n)
+            return pa.array([str(i) for i in range(at, min(at + n, 1234))])
+
+    assert text.by_steps(Texts(), of, pa.string()).to_pylist() == [str(i) for i in range(1234)]
+    assert len(seen) == 1234 and max(sizes) <= 100
+    assert text.by_steps(pa.array([], pa.string()), of, pa.string()).to_pylist() == []
+
+
+def test_ascii_is_not_sent_to_python(spark):
+    df = spark.createDataFrame([("  LICENSE b",), ("Ｌicense　x",), (None,), ("lic",)], "v string")
+    assert [r.k for r in df.select(text.phrase_key(F.col("v")).alias("k")).collect()] == ["license b", "license x", None, "lic"]
+    from lectern.operators import search
+
+    found = search.in_book(df, [F.col("v")], "v", " ＬICENSE ")
+    assert sorted(r.v for r in found.collect()) == ["  LICENSE b", "Ｌicense　x"] and search.in_book(df, [F.col("v")], "v", " 　 ").count() == 0
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("_nfkc(") == 1  # the phrase itself needs no Python
