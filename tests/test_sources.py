@@ -139,3 +139,13 @@ def test_replace_scope(spark, tmp_path):
 def test_stale(spark):
     r, e = spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("b",), ("c",)], "path string")
     assert {tuple(x) for x in sinks.stale_and_missing(r, e).collect()} == {("a", "stale"), ("c", "missing")}
+
+
+def test_article_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from lectern.plans import files
+    from lectern.registry import Registry
+
+    monkeypatch.setattr(files, "shared_folder", lambda *_: str(tmp_path / "articles"))
+    files.register(r := Registry())
+    assert r.fns["articles_file_tree"](spark, "/root/testdata/sf0.001").count() == len(list((tmp_path / "articles").glob("k=*")))
+    assert len({f.name[:10] for f in (tmp_path / "articles").glob("k=*/part-*.txt")}) > 1
