@@ -22,17 +22,16 @@ from pyspark.sql import DataFrame
 
 from lectern.llm import induced
 from lectern.llm.blocks import Block, ask, block_table, bucket_count, cut_by_bucket, join_bodies, opened, pack, split_bodies, squeeze, unpack, unsqueeze
-from lectern.llm.common import _BYTE, U64, Scratch, mix, powers, sliding_min
+from lectern.llm.common import U64, Scratch, mix, powers, sliding_min
 from lectern.llm.superkmer import group_starts
 
 #: A window and the parts whose least hash is its minimiser: few parts of 24 bytes are in different runs by chance.
 WIDTH, K = 50, 24
 HOT = 2_048
-#: Bytes of a block; a block's hashes take about seventy times as much; a shard gets the strings of about three blocks, of which few are sent, and takes about a hundred times what it gets.
+#: Bytes of a block; a block's hashes take about twenty times as much; a shard gets the strings of about three blocks, of which few are sent, and takes about eighty times what it gets.
 BLOCK = 2 << 20
 _BITS = 48
 _Q = U64(0xA0761D6478BD642F)
-_Q_INVERSE = U64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 _SHIP, _HOT = 1, 2
 
@@ -42,68 +41,110 @@ def _loads(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((buf.size - 7,), "<u8", buf, strides=(1,))
 
 
+def in_order(m: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order by minimiser, hash and document; only the few that share a minimiser are sorted by all three."""
+    order = np.argsort(m)
+    again = m[order[1:]] == m[order[:-1]]
+    tied = np.zeros(m.size, bool)
+    tied[1:] |= again
+    tied[:-1] |= again
+    t = np.sort(order[tied])
+    order[tied] = t[np.lexsort((doc[t], h[t], m[t]))]
+    return order
+
+
+#: Places that one step of the hashing works on, so that what it makes stays in the processor's cache.
+_STEP = 1 << 15
+
+
 class Runs:
-    """Runs of 50-byte windows with one minimiser."""
+    """Runs of 50-byte windows with one minimiser; a window is known by the place of its first byte."""
 
     def __init__(self, texts: list[bytes], ids: list[int | None]):
-        self.raw = raw = b"".join([*texts, bytes(2 * K)])
-        buf = np.frombuffer(raw, np.uint8)
+        self.raw = b"".join([*texts, bytes(2 * K)])
+        self.buf = np.frombuffer(self.raw, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate(([0], np.cumsum(sizes)))
         known = np.fromiter((i is not None for i in ids), bool, len(ids))
         ids = np.fromiter((i or 0 for i in ids), np.int64, len(ids))
-        n_windows = np.maximum(sizes - WIDTH + 1, 0) * known
-        total = int(n_windows.sum())
-        ends = np.cumsum(n_windows)
-        self.buf = buf
-        if not total:
-            self.at = self.low = self.n = self.start = self.doc = self.lead = self.unique = self.least = np.zeros(0, np.int64)
+        beyond = self.offsets[:-1] + np.maximum(sizes - WIDTH + 1, 0) * known  # each text's last window ends before it
+        filled = np.flatnonzero(beyond > self.offsets[:-1])
+        if not filled.size:
+            self.start = self.n = self.doc = self.lead = self.unique = self.least = np.zeros(0, np.int64)
             self.m = self.hash = np.zeros(0, U64)
             return
-        of = np.repeat(np.arange(len(texts), dtype=np.int32), n_windows)
-        self.at = np.arange(total) + np.repeat(self.offsets[:-1] - (ends - n_windows), n_windows)
-        words = _loads(buf)
-        h = words[: -K + 8] * _C1
-        h ^= h >> U64(29)
-        h += words[8:-8] * _C2
-        h *= _C3
-        h ^= h >> U64(32)
-        h += words[16:] * _C1
-        h *= _C2
-        h ^= h >> U64(31)
-        m = sliding_min(h, WIDTH - K + 1)[self.at]
-        new = np.ones(total, bool)
-        new[1:] = (m[1:] != m[:-1]) | (of[1:] != of[:-1])
-        self.low = np.flatnonzero(new)
-        self.n = np.diff(np.append(self.low, total))
-        self.start = self.at[self.low]
-        self.m = mix(m[self.low]) >> U64(64 - _BITS)  # minima lie near zero; buckets are ranges
-        self.doc = ids[of[self.low]]
-        self.sums = np.zeros(buf.size + 1, U64)
-        np.cumsum(_BYTE[buf] * powers(_Q, buf.size), out=self.sums[1:])
-        self.hash = self.spans(self.start, self.start + self.n + WIDTH - 1)
-        order = np.lexsort((self.doc, self.hash, self.m))
+        change = np.zeros(self.buf.size, np.int8)
+        first = np.zeros(self.buf.size, bool)
+        first[self.offsets[filled]] = True
+        change[self.offsets[filled]] = 1
+        change[beyond[filled]] -= 1
+        held = np.cumsum(change, dtype=np.int8).view(bool)
+        self.start, m = self._minima(first, held, int(beyond.max()))
+        of = np.searchsorted(self.offsets[1:], self.start, "right")
+        self.n = np.minimum(np.append(self.start[1:], self.buf.size), beyond[of]) - self.start
+        self.m = mix(m) >> U64(64 - _BITS)  # minima lie near zero; buckets are ranges
+        self.doc = ids[of]
+        self.hash = self._hashes()
+        order = in_order(self.m, self.hash, self.doc)
         first = group_starts(self.m[order], self.hash[order])
-        self.unique = np.empty(self.low.size, np.int64)
+        self.unique = np.empty(order.size, np.int64)
         self.unique[order] = np.cumsum(first) - 1
         #: of each distinct run, its occurrence in the smallest document
         self.lead = order[first]
         self.least = self.doc[self.lead]
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * powers(_Q_INVERSE, self.buf.size + 1)[starts] + (ends - starts).astype(U64))
+    def _minima(self, first: np.ndarray, held: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs start and their least hash; ``parts`` becomes the hash of the 24 bytes at each place."""
+        loads, more = _loads(self.buf), WIDTH - K
+        self.parts = np.empty(end + more, U64)
+        starts, minima, before = [], [], np.zeros(1, U64)
+        for a in range(0, end, _STEP):
+            b = min(a + _STEP, end)
+            words = np.ascontiguousarray(loads[a : b + more + 16])
+            h = self.parts[a : b + more]
+            np.multiply(words[:-16], _C1, out=h)
+            h ^= h >> U64(29)
+            h += words[8:-8] * _C2
+            h *= _C3
+            h ^= h >> U64(32)
+            h += words[16:] * _C1
+            h *= _C2
+            h ^= h >> U64(31)
+            m = np.concatenate((before, sliding_min(h, more + 1)))
+            at = np.flatnonzero((first[a:b] | (m[1:] != m[:-1])) & held[a:b])
+            starts.append(at + a)
+            minima.append(m[at + 1])
+            before = m[-1:]
+        return np.concatenate(starts), np.concatenate(minima)
+
+    def _hashes(self) -> np.ndarray:
+        """Of each run, from the hashes of parts that together are all its bytes."""
+        size, last = self.n + WIDTH - 1, self.n + WIDTH - 1 - K
+        out = size.astype(U64)
+        for k in range(0, 4 * K, K):
+            out = mix(out * _C1 + self.parts[self.start + np.minimum(k, last)])
+        long = np.flatnonzero(size > 4 * K)
+        if long.size:
+            n = last[long] + 1
+            low = np.cumsum(n) - n
+            of = np.arange(int(n.sum())) - np.repeat(low, n)
+            sums = np.add.reduceat(self.parts[np.repeat(self.start[long], n) + of] * powers(_Q, int(n.max()))[of], low)
+            out[long] = mix(out[long] * _C1 + mix(sums))
+        return out
 
     def window_hashes(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, words = self.at[windows], _loads(self.buf)
-        other = np.zeros(at.size, U64)
+        words = _loads(self.buf)
+        one = other = np.zeros(windows.size, U64)
+        for k in (0, K, WIDTH - K):
+            one = mix(one * _C3 + self.parts[windows + k])
         for k in (0, 8, 16, 24, 32, 40, 42):
-            other = mix(other * _C1 + words[at + k])
-        return self.spans(at, at + WIDTH), other
+            other = mix(other * _C1 + words[windows + k])
+        return one, other
 
     def windows_of(self, runs: np.ndarray) -> np.ndarray:
         n = self.n[runs]
         ends = np.cumsum(n)
-        return np.arange(int(n.sum())) + np.repeat(self.low[runs] - (ends - n), n)
+        return np.arange(int(n.sum())) + np.repeat(self.start[runs] - (ends - n), n)
 
     def text(self, run: int) -> bytes:
         return self.raw[self.start[run] : self.start[run] + self.n[run] + WIDTH - 1]
@@ -124,7 +165,7 @@ def _answer_runs(rows: list[tuple[int, bytes]]) -> list[bytes]:
     m = np.concatenate([unpack(b[0], U64, True) for b in bodies])
     h = np.concatenate([unpack(b[1], U64) for b in bodies])
     doc = np.concatenate([unpack(b[2], np.int64) for b in bodies])
-    order = np.lexsort((doc, h, m))
+    order = in_order(m, h, doc)
     m, h, sorted_doc = m[order], h[order], doc[order]
     new_m, new = group_starts(m), group_starts(m, h)
     least = sorted_doc[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -161,7 +202,7 @@ def _plan(runs: Runs, codes: np.ndarray, buckets: int) -> tuple[dict[int, np.nda
 
 
 def _doc_of(runs: Runs, windows: np.ndarray) -> np.ndarray:
-    return runs.doc[np.searchsorted(runs.low, windows, "right") - 1]
+    return runs.doc[np.searchsorted(runs.start, windows, "right") - 1]
 
 
 def _ask_windows(buckets: int):
@@ -194,7 +235,7 @@ def earlier_windows(strings: list[bytes], docs: np.ndarray, width: int = WIDTH)
     out = np.zeros(place.size, bool)
     if not place.size:
         return out
-    order, lcp = induced.suffix_array(text, width)
+    order, lcp = induced.suffix_array(text, width, whole=False)
     kept = np.flatnonzero(window[order] >= 0)
     shared = np.minimum.reduceat(lcp[: kept[-1] + 1], np.concatenate(([0], kept[:-1] + 1)))  # since the window before
     new = shared < width
@@ -235,13 +276,16 @@ def _answer_windows(rows: list[tuple[int, bytes]]) -> list[bytes]:
 def _covered(block: Block, runs: Runs, buckets: int) -> np.ndarray:
     """For each byte of a block, whether it goes."""
     n = int(runs.offsets[-1])
-    if not runs.at.size:
+    if not runs.start.size:
         return np.zeros(n, bool)
     codes, least = _told(block, runs, buckets)
     behind = runs.doc > least[runs.unique]
-    gone = np.repeat(behind, runs.n)
+    change = np.zeros(n + 1, np.int8)
+    change[runs.start[behind]] = 1
+    change[(runs.start + runs.n)[behind]] -= 1
+    gone = np.cumsum(change, dtype=np.int8).view(bool)  # by the windows' places
     strings, hashed = _plan(runs, codes, buckets)
-    own = np.zeros(runs.at.size, bool)
+    own = np.zeros(n + 1, bool)
     none = np.zeros(0, np.int64)
     for bucket in {*strings, *hashed}:
         win = np.concatenate((runs.windows_of(runs.lead[strings.get(bucket, none)]), hashed.get(bucket, none)))
@@ -249,14 +293,14 @@ def _covered(block: Block, runs: Runs, buckets: int) -> np.ndarray:
         own[win[bits]] = True
     gone |= own
     # the answer is for the run in its smallest document; other rows of the same document id have it as well
-    same = np.flatnonzero(~behind & (runs.lead[runs.unique] != np.arange(runs.low.size)))
+    same = np.flatnonzero(~behind & (runs.lead[runs.unique] != np.arange(runs.start.size)))
     if same.size:
         gone[runs.windows_of(same)] |= own[runs.windows_of(runs.lead[runs.unique[same]])]
-    edges = np.zeros(n + 1, np.int32)
-    starts = runs.at[gone]
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + WIDTH, -1)
-    return np.cumsum(edges[:-1]) > 0
+    edge = np.diff(gone.view(np.int8), prepend=np.int8(0))
+    change = np.zeros(n + 1, np.int8)  # stretches of windows that reach into each other are a byte apart at least
+    change[np.flatnonzero(edge == 1)] = 1
+    change[np.flatnonzero(edge == -1) + WIDTH - 1] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
 def remove_earlier(df: DataFrame, scratch: Scratch) -> DataFrame:

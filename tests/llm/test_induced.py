@@ -44,3 +44,45 @@ def test_larger_in_memory_base_agrees():
     a = induced.suffix_array(text, 50, base=16, queue_bytes=10_000)
     b = induced.suffix_array(text, 50)
     assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("base", [4, 1 << 22])
+@pytest.mark.parametrize("seed", range(10))
+def test_ties_beyond_the_limit_in_any_order(seed, base):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    part = rng.integers(0, 1 + seed % 4 * 3, 80)
+    text = np.concatenate([part, rng.integers(0, 3, 30), part, part, part[: 40 + seed], np.zeros(30, np.int64)])
+    limit = 5 + seed
+    order, lcp = induced.suffix_array(text, limit, base=base, queue_bytes=200, whole=False)
+    assert sorted(order.tolist()) == list(range(text.size))
+    heads = [text[i : i + limit].tolist() for i in order]
+    assert heads == sorted(heads)
+    assert lcp.tolist() == brute(text.tolist(), limit)[1]
+
+
+class Counting:
+    """numpy, with the sum of what it sorts."""
+
+    def __init__(self):
+        self.total = 0
+
+    def __getattr__(self, name):
+        of = getattr(np, name)
+        if name not in ("argsort", "lexsort"):
+            return of
+
+        def counted(keys, *args, **kwargs):
+            self.total += keys[0].size if name == "lexsort" else keys.size
+            return of(keys, *args, **kwargs)
+
+        return counted
+
+
+def test_little_is_sorted(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(7))
+    parts = [rng.integers(97, 123, 70) for _ in range(500)]
+    text = np.concatenate([np.append(p[k:], 0) for p in parts for k in (0, 3, 9)])
+    counting = Counting()
+    monkeypatch.setattr(induced, "np", counting)
+    induced.suffix_array(text, 50, whole=False)
+    assert counting.total < 5 * text.size  # 7.5 when every step sorted all

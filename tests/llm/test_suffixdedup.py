@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 
 from lectern.llm import induced, suffixdedup
@@ -53,3 +55,42 @@ def test_given_documents(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+VOCABULARY = ["the", "of", "é", "日本"] + [f"w{i}" for i in range(3_000)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choices(VOCABULARY, k=n)).encode()
+
+
+def test_runs_by_steps(monkeypatch):
+    """Runs are the same whatever a step's places, and two agree in hash if they agree in bytes."""
+    rng = random.Random(8)
+    texts = [prose(rng, 80), b"", b"ab" * 300, b"a" * 400, prose(rng, 5), b"a" * 250 + b"b" + b"a" * 250, b"xyz" * 90, b"ab" * 200 + b"c" + b"ab" * 220]
+    texts += [t[7:] for t in texts]
+    ids = [None if i == 5 else i // 2 for i in range(len(texts))]
+    whole = suffixdedup.Runs(texts, ids)
+    assert whole.n.max() > 200
+    n_windows = sum(max(0, len(t) - 49) for t, i in zip(texts, ids) if i is not None)
+    assert whole.n.sum() == n_windows == len(set(whole.windows_of(np.arange(whole.n.size)).tolist()))
+    by_bytes = {}
+    for r in range(whole.n.size):
+        by_bytes.setdefault(whole.text(r), set()).add((int(whole.m[r]), int(whole.hash[r])))
+    assert all(len(x) == 1 for x in by_bytes.values())
+    assert len(set.union(*by_bytes.values())) == len(by_bytes) == whole.lead.size
+    monkeypatch.setattr(suffixdedup, "_STEP", 33)
+    steps = suffixdedup.Runs(texts, ids)
+    for name in ("start", "n", "m", "hash", "doc", "unique", "least"):
+        assert (getattr(steps, name) == getattr(whole, name)).all(), name
+
+
+def test_memory_of_a_block():
+    rng = random.Random(9)
+    texts = [prose(rng, 300) for _ in range(300)]
+    suffixdedup.Runs(texts, list(range(300)))
+    tracemalloc.start()
+    suffixdedup.Runs(texts, list(range(300)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 * sum(map(len, texts))  # 19 times the text, 48 when each step made arrays of the whole block
