@@ -53,9 +53,8 @@ def register(r: Registry) -> None:
     def articles_file_tree(spark, sf_dir):
         at = shared_folder(spark, "articles")
         body = F.format_string("# %s\n\ndate: 1997-01-15\npage: %s\n\ntext %s", "url", F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("page_id").cast("string")), F.col("page_id").cast("string"))
-        # a task moves its files itself when it commits, instead of the driver one after the other
         pages = dealt(table(spark, sf_dir, "pages").select("page_id", "url")).select(F.col("page_id").alias("k"), body.alias("value"))
-        pages.write.partitionBy("k").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(at)
+        sinks.text_files(pages, at, "k", "value")
         a = readers.markdown_articles(spark, at, "ns", ARTICLE, "*.txt")
         folder = F.regexp_replace("logical_id", "/[^/]*$", "")
         return a.select(F.regexp_extract("path", "k=([0-9]+)/", 1).cast("bigint").alias("page_id"), "title", "date", "page", F.md5("content").alias("digest"), folder.alias("folder"))

@@ -32,6 +32,13 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The whole path of a place on the file system that all machines mount (``file:``), which tasks may open by themselves; None for other places."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names; it goes when the JVM ends.
 

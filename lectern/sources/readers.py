@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import io
+import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from lectern.functions import codecs, dates
+from lectern.session import dealt, mounted
 
 SEARCH_DOCUMENT = (
     "documentId string, releaseId string, datasetId string, datasetTitle string, itemId string, itemTitle string, itemType string, revision int, targetId string, "
@@ -121,18 +124,87 @@ def source_list_errors(sources: DataFrame) -> DataFrame:
     return bad("version", ~F.col("version").eqNullSafe(F.lit(1))).union(bad("blank", blank)).union(bad("route", ~F.col("route").startswith("/"))).union(twice).union(none)
 
 
+#: Levels of a tree whose entries are dealt out anew; what is below is walked by the task that has the folder.
+LEVELS = 2
+#: Names and bytes of files in an Arrow batch.
+NAMES, BATCH_BYTES = 10_000, 4 << 20
+#: Endings of files that Spark's readers unpack.
+PACKED = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
+
+
+def _entries(at: str, folder: str, glob: str) -> Iterator[tuple[str, bool]]:
+    """(path below ``at``, whether it is a folder) of what a folder holds, without the names and the empty files that Spark's readers leave out."""
+    with os.scandir(f"{at}/{folder}") as found:
+        for e in found:
+            if e.name.startswith(".") or e.name.endswith("._COPYING_") or (e.name.startswith("_") and "=" not in e.name):
+                continue
+            if e.is_dir():
+                yield f"{folder}{e.name}/", True
+            elif fnmatchcase(e.name, glob) and e.is_file() and e.stat().st_size:
+                yield f"{folder}{e.name}", False
+
+
+def _tree(spark: SparkSession, at: str, glob: str) -> DataFrame:
+    """(path, body) of the files of a mounted tree: tasks list its folders and read its files, so that the driver holds no names and a file costs no task, listing or configuration of its own."""
+
+    def batch(rows: list[tuple[str, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["path", "folder"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            for path, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for row in _entries(at, path, glob) if folder else [(path, folder)]:
+                    rows.append(row)
+                    if len(rows) == NAMES:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, bodies, size = [], [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                due = [iter([row])]
+                while due:
+                    path, folder = next(due[-1], (None, None))
+                    if path is None:
+                        due.pop()
+                    elif folder:
+                        due.append(_entries(at, path, glob))
+                    else:
+                        with open(f"{at}/{path}", "rb") as f:
+                            bodies.append(f.read())
+                        paths.append(path)
+                        size += len(bodies[-1])
+                        if size >= BATCH_BYTES or len(paths) == NAMES:
+                            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
+                            paths, bodies, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
+
+    found = spark.range(0, 1, 1, 1).select(F.lit("").alias("path"), F.lit(True).alias("folder"))
+    for _ in range(LEVELS):
+        found = dealt(found.mapInArrow(listed, "path string, folder boolean"))
+    return found.mapInArrow(read, "path string, body binary").select("path", F.col("body").cast("string"))
+
+
 def markdown_articles(spark: SparkSession, root: str, namespace: str, pattern: str, glob: str = "*.md") -> DataFrame:
     """Articles of a tree of Markdown files: logical_id, path, and the named groups title, date, page, content of ``pattern``.
 
-    A blank page is 0; a file that doesn't match has null fields.
+    A blank page is 0; a file that doesn't match has null fields. A mounted folder is listed and read by tasks; Spark lists and reads other places, and globs of more than ``*``, ``?`` and an ending.
     """
     names = ("title", "date", "page", "content")
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    path = F.regexp_replace(F.url_decode("file"), f"^.*?{base}/", "")
+    plain = re.fullmatch(r"[\w*?. -]*\.(\w+)", glob)
+    at = mounted(spark, root)
+    if at is not None and os.path.isdir(at) and plain and plain[1].lower() not in PACKED:
+        raw = _tree(spark, at, glob)
+    else:
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+        base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+        raw = raw.select(F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), f"^.*?{base}/", "").alias("path"), F.col("value").alias("body"))
     found = F.array(*[F.regexp_extract("body", pattern, i + 1) for i in range(len(names))])
     ok = F.col("body").rlike(pattern)
-    out = raw.select(path.alias("path"), F.concat(F.lit(f"{namespace}:"), path).alias("logical_id"), *[F.when(ok, found[i]).alias(n) for i, n in enumerate(names)])
+    out = raw.select("path", F.concat(F.lit(f"{namespace}:"), "path").alias("logical_id"), *[F.when(ok, found[i]).alias(n) for i, n in enumerate(names)])
     return out.withColumn("page", F.when(F.col("page") == "", 0).otherwise(F.col("page").cast("int")))
 
 

@@ -5,19 +5,54 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import codecs
+from lectern.session import mounted
+from lectern.sources import places
 
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+#: What Spark's writers name the folder of a null, and the characters that they escape in names of folders.
+NO_VALUE, ESCAPED = "__HIVE_DEFAULT_PARTITION__", re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def text_files(df: DataFrame, path: str, by: str, text: str) -> None:
+    """Writes each row's text and a line end as a file of its own, ``<by>=<value>/part-<task>-<number>.txt`` below the new folder ``path``, and ``_SUCCESS`` last.
+
+    Folders are those of Spark's writer, which does the same where tasks can't open ``path``. On a mounted file system that writer begins about eight
+    processes a file and moves each twice, so tasks put the files themselves; one that runs again puts the same ones.
+    """
+    value = F.coalesce(F.nullif(F.col(by).cast("string"), F.lit("")), F.lit(NO_VALUE))
+    rows = df.select(value.alias(by), F.col(text).cast("string").alias(text)).sortWithinPartitions(by, text)
+    at = mounted(df.sparkSession, path)
+    if at is None:
+        rows.write.partitionBy(by).option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, now, number, n = TaskContext.get().partitionId(), None, 0, 0
+        for batch in batches:
+            for value, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now, number = value, number + 1 if value == now else 0
+                folder = ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value)
+                places.put(f"{at}/{by}={folder}/part-{task:05d}-{number}.txt", (data or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    places.put(f"{at}/_SUCCESS", b"")
+
+
 def replace_scope(df: DataFrame, path: str, by: str) -> None:
     """Replaces the partitions that ``df`` has rows of and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -149,3 +149,46 @@ def test_article_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch
     files.register(r := Registry())
     assert r.fns["articles_file_tree"](spark, "/root/testdata/sf0.001").count() == len(list((tmp_path / "articles").glob("k=*")))
     assert len({f.name[:10] for f in (tmp_path / "articles").glob("k=*/part-*.txt")}) > 1
+
+
+def test_a_tree_is_listed_by_tasks(spark, tmp_path):
+    tree = {"a.md": "# A\n1\n", "1946/05/15/deep/b c.md": "# B\n2\n", "1946/é+%41.md": "no", "x=1/_k=2/c.md": "# C\n3\n\n", "empty.md": "", "_s/d.md": "d", ".h/e.md": "e", "1946/_f.md": "f", "1946/g.MD": "g", "h.md.bak": "h"}
+    for path, text in tree.items():
+        (tmp_path / "in" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / path).write_text(text)
+    (tmp_path / "in" / "1946" / "bytes.md").write_bytes(b"# \xff\n4\n")
+    (tmp_path / "in" / "linked").symlink_to(tmp_path / "in" / "x=1")
+    (tmp_path / "in" / "broken.md").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "none").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tree.link./in", f"file://{tmp_path}/in")
+    pattern = r"(?s)^# (\S+)\n()()(.*)$"
+    ours, theirs = (readers.markdown_articles(spark, root, "ns", pattern) for root in (f"file://{tmp_path}/in/", "viewfs://tree/in"))
+    assert not ours.inputFiles() and theirs.inputFiles()
+    assert {r.path for r in ours.collect()} == {"a.md", "1946/05/15/deep/b c.md", "1946/é+%41.md", "x=1/_k=2/c.md", "linked/_k=2/c.md", "1946/bytes.md"}
+    assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
+    assert readers.markdown_articles(spark, f"{tmp_path}/none", "ns", pattern).isEmpty()
+    assert {r.path for r in readers.markdown_articles(spark, f"{tmp_path}/in", "ns", pattern, "*.{MD,bak}").collect()} == {"1946/g.MD", "h.md.bak"}
+
+
+def test_text_files(spark, tmp_path):
+    rows = [("1", "a"), ("1", "a"), ("1", "b"), ("a/b: c=%é", "x\ny"), (None, "n"), ("", None), ("__HIVE_DEFAULT_PARTITION__", "m")]
+    df = spark.createDataFrame(rows, "k string, value string").repartition(3)
+    (tmp_path / "in").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./in", f"file://{tmp_path}/in")
+    sinks.text_files(df, f"file:{tmp_path}/ours", "k", "value")
+    sinks.text_files(df, "viewfs://texts/in/theirs", "k", "value")
+    found = [sorted((f.parent.name, f.name[:10], f.read_text()) for f in at.glob("k=*/part-*.txt")) for at in (tmp_path / "ours", tmp_path / "in" / "theirs")]
+    assert len(found[0]) == len(rows) and [(k, text) for k, _, text in found[0]] == [(k, text) for k, _, text in found[1]]
+    sinks.text_files(df.limit(0), f"{tmp_path}/none", "k", "value")
+    assert [f.name for f in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+
+
+def test_pages_of_one_id_are_files_of_their_own(spark, tmp_path):
+    import __spark_entry__
+
+    pages = spark.createDataFrame([(7, f"u{i // 2}") for i in range(100)] + [(8, "w")], "page_id long, url string")
+    for name, df in (("some", pages), ("none", pages.limit(0))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+    got = __spark_entry__.queries()["articles_file_tree"](spark, f"{tmp_path}/some")
+    assert sorted((r.page_id, r.title, r.page, r.folder) for r in got.collect()) == sorted((7, f"u{i // 2}", 7, "ns:k=7") for i in range(100)) + [(8, "w", 0, "ns:k=8")]
+    assert __spark_entry__.queries()["articles_file_tree"](spark, f"{tmp_path}/none").isEmpty()
